@@ -82,18 +82,25 @@ class Sketcher:
         values = (x[None, :] ^ self.xor[:, None]) * self.times[:, None]
         return grams[values[:SEGMENTS].argmin(axis=1)], values.min(axis=1)
 
-    def keys(self, anchors: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Return flat keys, the number of keys of each text, and the 64-bit sketches."""
-        n = len(values)
+    def segments(self, values: np.ndarray) -> np.ndarray:
+        """Return the fingerprint of each text as words of 23 bits."""
         bits = (values >> np.uint32(13)) & np.uint32(1)
-        words = (bits[:, self.layout].astype(np.int32) << np.arange(BITS, dtype=np.int32)).sum(axis=2, dtype=np.int32)
-        found = self.golay.indices(words)
+        return (bits[:, self.layout].astype(np.int32) << np.arange(BITS, dtype=np.int32)).sum(axis=2, dtype=np.int32)
+
+    def expand(self, anchors: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Return all keys, text by text, and the number of keys of each text."""
+        found = self.golay.indices(segments)
         new = np.ones(found.shape, bool)
         new[..., 1:] = found[..., 1:] != found[..., :-1]
         base = anchors ^ self.segment
         keys = mix(base[..., None] + found.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        sketch = (bits[:, FUNCTIONS - 64 :].astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return keys[new].view(np.int64), new.reshape(n, -1).sum(axis=1), sketch.view(np.int64)
+        return keys[new].view(np.int64), new.reshape(len(new), -1).sum(axis=1)
+
+    @staticmethod
+    def sketch(values: np.ndarray) -> np.ndarray:
+        """Return 64 bits of the fingerprint of each text."""
+        bits = (values[:, FUNCTIONS - 64 :] >> np.uint32(13)) & np.uint32(1)
+        return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
@@ -120,16 +127,16 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
                         values.append(value)
                 if not ids:
                     continue
-                flat, counts, sketch = sketcher.keys(np.array(anchors), np.array(values))
                 salt = mix(np.array(scopes, np.int64).view(np.uint64))
-                flat = flat ^ np.repeat(salt, counts).view(np.int64)
+                values = np.array(values)
+                flat, counts = sketcher.expand(np.array(anchors) ^ salt[:, None], sketcher.segments(values))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
                         pa.array((np.array(same_a) ^ salt).view(np.int64)),
                         pa.array(np.array(same_b).view(np.int64)),
-                        pa.array(sketch),
+                        pa.array(sketcher.sketch(values)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                     ],
                     ["id", "same_a", "same_b", "sketch", "keys"],

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.history import History
 from tessera.llm.near_duplicates import group_pairs, near_duplicates
+from tessera.plans.shared import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,9 +57,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+P5_TABLES = [("bbc_crawler", "article_id"), ("github_crawler", "file_id")]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the later batches that repeat an accepted one."""
+    both = _two_tables(spark, sf_dir, P5_TABLES, "content", "batch_no")
+    texts = both.select(
+        F.col("uid").alias("id"), F.col("content").alias("text"), F.pmod("uid", F.lit(2)).alias("scope"), "batch_no"
+    )
+    history = History(spark, new_path(spark, "p5-history"), shingle=3, threshold=0.7)
+    history.start(texts.filter("batch_no = 0"))
+    found = history.check(texts.filter("batch_no > 0"), texts)
+    return found.select(
+        _named(P5_TABLES, "id_a").alias("crawler"), _id("id_a").alias("id_a"), _id("id_b").alias("id_b")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return the queries by name."""
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
