@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.history import History
+from tessera.llm.leakage import leaks, without_leaks
 from tessera.llm.near_duplicates import group_pairs, near_duplicates
 from tessera.plans.shared import new_path
 
@@ -74,11 +75,39 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that give away benchmark items."""
+    found = leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id")
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents without the passages; a null text marks one to drop."""
+    documents = _read(spark, sf_dir, "documents")
+    return without_leaks(documents, leaks(documents, _read(spark, sf_dir, "benchmark")))
+
+
+P7_SQL = r"""
+WITH words AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
+places AS (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5),
+grams AS (SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS g FROM places),
+items AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n FROM grams WHERE kind = 1)
+SELECT d.id AS doc_id, i.item_id
+FROM grams d JOIN items i ON d.g = i.g
+WHERE d.kind = 0
+GROUP BY d.id, i.item_id
+HAVING count(*) >= 0.4 * max(i.n) - 1e-9
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return the queries by name."""
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 
 
 def oracle_sql() -> dict[str, str]:
     """Return the SQL of the queries that SQL can express over whole tables in reasonable time."""
-    return {}
+    return {"p7_found": P7_SQL}
