@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.llm.history import History
 from tessera.llm.leakage import leaks, without_leaks
 from tessera.llm.near_duplicates import group_pairs, near_duplicates
-from tessera.plans.shared import new_path
+from tessera.llm.packing import MOST_CAPACITIES, fill, packed, token_counts
+from tessera.plans.shared import new_path, written
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +76,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "window_sizes").select("window_id", "capacity").limit(MOST_CAPACITIES + 1).collect()
+    sizes = written(token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text"), "p6-sizes")
+    return packed(sizes, {r["window_id"]: r["capacity"] for r in rows})
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window and place of every sample for each window size."""
+    return _p6(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the windows of each size are."""
+    return fill(_p6(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that give away benchmark items."""
     found = leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -105,7 +122,7 @@ HAVING count(*) >= 0.4 * max(i.n) - 1e-9
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return the queries by name."""
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 
 
 def oracle_sql() -> dict[str, str]:
