@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.history import History
+from tessera.llm.language import documents_by_language, fit, labelled_sample, named_language, paragraphs
 from tessera.llm.leakage import leaks, without_leaks
 from tessera.llm.near_duplicates import group_pairs, near_duplicates
 from tessera.llm.packing import MOST_CAPACITIES, fill, packed, token_counts
@@ -120,9 +121,27 @@ HAVING count(*) >= 0.4 * max(i.n) - 1e-9
 """
 
 
+def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = _read(spark, sf_dir, "documents").filter("source is null or not startswith(source, 'github_')")
+    return documents, paragraphs(documents, fit(labelled_sample(documents)))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs whose language is not the one that the document's label names."""
+    documents, rows = _p8(spark, sf_dir)
+    labels = documents.select(F.col("doc_id").cast("long"), named_language(F.col("lang")).alias("named"))
+    wrong = rows.join(labels, "doc_id").filter("named is null or lang <> named")
+    return wrong.select("doc_id", "para_no", "lang")
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of each document."""
+    return documents_by_language(_p8(spark, sf_dir)[1])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return the queries by name."""
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p8_found": p8_found, "p8_documents": p8_documents, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 
 
 def oracle_sql() -> dict[str, str]:
