@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.boilerplate import main_text, site_lines
 from tessera.llm.history import History
 from tessera.llm.language import documents_by_language, fit, labelled_sample, named_language, paragraphs
 from tessera.llm.leakage import leaks, without_leaks
@@ -60,6 +61,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+P4_TABLES = [("bbc_crawler", "article_id", "extracted_contents"), ("wikipedia_crawler", "page_id", "content")]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that belong to the site."""
+    parts = [
+        site_lines(_read(spark, sf_dir, table), key, text).select(
+            F.lit(table).alias("crawler"), F.col("id").alias("record_id"), "line_no"
+        )
+        for table, key, text in P4_TABLES
+    ]
+    return parts[0].union(parts[1])
+
+
+def p4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page without the lines of the site."""
+    parts = [
+        main_text(_read(spark, sf_dir, table), key, text).select(
+            F.lit(table).alias("crawler"), F.col("id").alias("record_id"), "text", "removed"
+        )
+        for table, key, text in P4_TABLES
+    ]
+    return parts[0].union(parts[1])
+
+
 P5_TABLES = [("bbc_crawler", "article_id"), ("github_crawler", "file_id")]
 
 
@@ -141,7 +167,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return the queries by name."""
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p8_found": p8_found, "p8_documents": p8_documents, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_main_text": p4_main_text, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p8_found": p8_found, "p8_documents": p8_documents, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 
 
 def oracle_sql() -> dict[str, str]:
