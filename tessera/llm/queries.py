@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.boilerplate import main_text, site_lines
+from tessera.llm.foreign_code import foreign_files
 from tessera.llm.history import History
 from tessera.llm.language import documents_by_language, fit, labelled_sample, named_language, paragraphs
 from tessera.llm.leakage import leaks, without_leaks
@@ -61,6 +62,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are generated, minified, third-party or data."""
+    return foreign_files(_read(spark, sf_dir, "github_crawler")).select("file_id")
+
+
+def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of files by reason."""
+    found = foreign_files(_read(spark, sf_dir, "github_crawler"))
+    return found.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("files"))
+
+
 P4_TABLES = [("bbc_crawler", "article_id", "extracted_contents"), ("wikipedia_crawler", "page_id", "content")]
 
 
@@ -167,7 +179,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return the queries by name."""
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_main_text": p4_main_text, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p8_found": p8_found, "p8_documents": p8_documents, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_main_text": p4_main_text, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p8_found": p8_found, "p8_documents": p8_documents, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 
 
 def oracle_sql() -> dict[str, str]:
