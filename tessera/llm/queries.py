@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.boilerplate import main_text, site_lines
+from tessera.llm.credentials import credentials, redacted
 from tessera.llm.foreign_code import foreign_files
 from tessera.llm.history import History
 from tessera.llm.language import documents_by_language, fit, labelled_sample, named_language, paragraphs
@@ -62,6 +63,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of credentials."""
+    return credentials(_read(spark, sf_dir, "github_crawler"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files with the credentials masked."""
+    return redacted(_read(spark, sf_dir, "github_crawler"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are generated, minified, third-party or data."""
     return foreign_files(_read(spark, sf_dir, "github_crawler")).select("file_id")
@@ -179,7 +190,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return the queries by name."""
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_main_text": p4_main_text, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p8_found": p8_found, "p8_documents": p8_documents, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_main_text": p4_main_text, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p8_found": p8_found, "p8_documents": p8_documents, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 
 
 def oracle_sql() -> dict[str, str]:
