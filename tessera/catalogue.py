@@ -16,6 +16,7 @@ from tessera.functions import text as T
 from tessera.operators import corpus as C
 from tessera.operators import report as R
 from tessera.operators import scoring as S
+from tessera.plans.shared import spread, written
 from tessera.streaming.collect import distinct_stream, run_to_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +59,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null"))
 
 
 def _clean(name: str, expression: Callable, sql: str) -> None:
@@ -147,7 +148,7 @@ def _markers_sql() -> str:
 @query(_markers_sql())
 def marker_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages cut at the markers of their end sections."""
-    pages = read(spark, sf_dir, "wikipedia_crawler").filter("content is not null")
+    pages = spread(read(spark, sf_dir, "wikipedia_crawler").select("page_id", "content").filter("content is not null"))
     content = F.replace("content", F.lit("\nCategories"), F.lit("\nReferences"))
     return pages.select("page_id", content.alias("content")).select(
         "page_id", T.cut_at_markers(F.col("content")).alias("body")
@@ -176,7 +177,7 @@ _TEX = (
 def latex_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, abstract and body of sources built around the documents."""
     source = F.expr(_TEX.replace("\\", "\\\\"))
-    return _text(spark, sf_dir).select("doc_id", source.alias("s")).select("doc_id", L.paper_text(F.col("s")).alias("paper"))
+    return L.with_paper(_text(spark, sf_dir).select("doc_id", source.alias("s")), "s", "paper").select("doc_id", "paper")
 
 
 _TEX_FILES = r"""SELECT html_url AS archive, file_id AS ord, content,
@@ -256,7 +257,7 @@ def html_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<p>"), _escaped(F.col("content")), F.lit("</p><table><tr><td>x</td></tr></table><math>y</math>"),
         F.lit('<h2><span id="References">References</span></h2><ol><li>z</li></ol></div>'),
     )
-    pages = read(spark, sf_dir, "wikipedia_crawler").filter("content is not null")
+    pages = spread(read(spark, sf_dir, "wikipedia_crawler").select("page_id", "content").filter("content is not null"))
     return pages.select("page_id", H.over(H.page_text, html).alias("text")).filter("text is not null")
 
 
@@ -455,7 +456,7 @@ _TOKENS = f"SELECT source, unnest({_WORDS}) AS tok, unnest(range(len({_WORDS})))
 )
 def unigram_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each corpus under its own unigram model."""
-    found = S.unigram_scores(read(spark, sf_dir, "documents"), "text", "source")
+    found = S.unigram_scores(spread(read(spark, sf_dir, "documents").select("source", "text")), "text", "source")
     return found.withColumn("nll", F.round("nll", 3))
 
 
@@ -475,14 +476,14 @@ def _bigram_sql(size: int, bos: int, filters: str = "text IS NOT NULL", text: st
 @query(_bigram_sql(64, 0) + "SELECT source, round(sum(n * -ln(pair / first)), 3) AS nll, CAST(sum(n) AS BIGINT) AS scored FROM m GROUP BY source")
 def bigram_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each corpus under a bigram model of all."""
-    docs = read(spark, sf_dir, "documents").select("source", "text").filter("text is not null")
+    docs = spread(read(spark, sf_dir, "documents").select("source", "text").filter("text is not null"))
     return S.bigram_scores(docs, "text", "source", 64).withColumn("nll", F.round("nll", 3))
 
 
 @query(_bigram_sql(64, 1) + "SELECT source, round(sum(n * -ln(pair / first)), 3) AS nll, CAST(sum(n) AS BIGINT) AS scored FROM m GROUP BY source")
 def bigram_bos_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a start token in front of every chunk."""
-    docs = read(spark, sf_dir, "documents").select("source", "text").filter("text is not null")
+    docs = spread(read(spark, sf_dir, "documents").select("source", "text").filter("text is not null"))
     return S.bigram_scores(docs, "text", "source", 64, bos=1).withColumn("nll", F.round("nll", 3))
 
 
@@ -498,9 +499,9 @@ def bigram_bos_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bigram_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compression rate of each corpus under a bigram model, after filter, cut and deduplication."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"))
     cut = C.filter_then_truncate(docs, "text", 500, 5000, "n_chars")
-    kept = C.distinct_texts(cut, "text", "doc_id", "source").select("source", "text")
+    kept = written(C.distinct_texts(cut, "text", "doc_id", "source").select("source", "text"), "bigram-kept")
     sizes = kept.groupBy("source").agg(F.count("*").alias("samples"), F.sum(F.octet_length("text")).alias("bytes"))
     scores = S.bigram_scores(kept, "text", "source")
     rate = S.compression_rate(F.coalesce("nll", F.lit(0.0)), F.col("bytes"))
@@ -516,7 +517,7 @@ _BYTES = "SELECT source, strlen(text) AS b, length(text) AS c FROM documents WHE
 )
 def batched_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run logs of the uniform byte model, scored in padded batches with a start token."""
-    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), F.col("doc_id").alias("idx"), "text")
+    docs = spread(read(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), F.col("doc_id").alias("idx"), "text"))
     config = S.EvaluationConfig("local/uniform", "documents", "uniform", add_bos=True, chunk_size=256, batch_size=16)
     log = S.run_log(S.score(docs, config), "dataset")
     return log.select(
@@ -529,7 +530,7 @@ def batched_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete run logs of a byte model that repeats itself."""
-    docs = read(spark, sf_dir, "documents").select(F.col("dataset"), F.col("doc_id").alias("idx"), "text")
+    docs = spread(read(spark, sf_dir, "documents").select(F.col("dataset"), F.col("doc_id").alias("idx"), "text"))
     return S.evaluate(docs, S.EvaluationConfig("local/repeat", "documents", "repeat", chunk_size=512, batch_size=8))
 
 

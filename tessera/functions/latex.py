@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import close_punctuation, collapse_whitespace, drop_tags
@@ -50,13 +50,18 @@ def body(c: Column) -> Column:
     return F.regexp_extract(c, _BODY, 1)
 
 
-def paper_text(c: Column) -> Column:
-    """Put title, abstract and body together as plain text."""
-    c = unwrap_links(drop_front_matter(c))
-    t, a = title(c), abstract(c)
-    text = collapse_whitespace(close_punctuation(drop_tags(collapse_whitespace(body(without_abstract(c))))))
-    text = F.when(a != "", F.concat(F.lit("§ Abstract "), collapse_whitespace(a), text)).otherwise(text)
-    return F.when(t != "", F.concat(collapse_whitespace(t), F.lit("\n"), text)).otherwise(text)
+def with_paper(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Add title, abstract and body, put together as plain text, as the column ``out``.
+
+    Each part is a step of its own, so none is computed twice.
+    """
+    cleaned = df.withColumn("_s", unwrap_links(drop_front_matter(F.col(source))))
+    c = F.col("_s")
+    parts = cleaned.withColumns({"_t": title(c), "_a": abstract(c), "_b": body(without_abstract(c))}).drop("_s")
+    text = collapse_whitespace(close_punctuation(drop_tags(collapse_whitespace(F.col("_b")))))
+    head = F.when(F.col("_t") != "", F.concat(collapse_whitespace(F.col("_t")), F.lit("\n"))).otherwise("")
+    lead = F.when(F.col("_a") != "", F.concat(F.lit("§ Abstract "), collapse_whitespace(F.col("_a")))).otherwise("")
+    return parts.withColumn(out, F.concat(head, lead, text)).drop("_t", "_a", "_b")
 
 
 def plain_text(s: str | None) -> str | None:

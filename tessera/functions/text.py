@@ -151,7 +151,8 @@ def header_label(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Return the runs of characters that are not white space."""
-    return F.filter(F.split(F.regexp_replace(c, f"{SPACE}+", " "), " "), lambda w: w != "")
+    spaced = collapse_whitespace(c)
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
 def characters(c: Column) -> Column:

@@ -85,10 +85,11 @@ def shifted_nll(df: DataFrame, key: str, pos: str, logits: str, target: str, siz
 def unigram_scores(df: DataFrame, text: str, corpus: str, size: int = 1024, tokenizer: str = "word") -> DataFrame:
     """Score each corpus with its own unigram model: -ln(count / all), first of a chunk left out.
 
-    Token types are counted before they are scored, so the shuffle carries types, not tokens.
+    Types are told apart by 64-bit hashes and counted before they are scored, so the shuffle
+    carries numbers, one row for each type of a task, and no tokens.
     """
     chunk_start = F.col("pos") % F.lit(size) == 0
-    typed = tokens(df, text, [corpus], tokenizer).groupBy(corpus, "tok").agg(
+    typed = tokens(df, text, [corpus], tokenizer).groupBy(corpus, F.xxhash64("tok").alias("tok")).agg(
         F.count("*").alias("n"), F.sum((~chunk_start).cast("long")).alias("scored")
     )
     everything = F.sum("n").over(Window.partitionBy(corpus))
@@ -98,30 +99,31 @@ def unigram_scores(df: DataFrame, text: str, corpus: str, size: int = 1024, toke
 
 
 def bigram_types(df: DataFrame, text: str, by: list[str], size: int, bos: int = 0, tokenizer: str = "word") -> DataFrame:
-    """Count (``prev``, ``tok``) pairs within chunks, by ``by``.
+    """Count (``prev``, ``tok``) pairs, as 64-bit hashes, within chunks and by ``by``.
 
-    With ``bos``, a chunk's first token follows the start mark.
+    With ``bos``, a chunk's first token follows the start mark, whose hash is that of "".
     """
     held = df.select(*by, TOKENIZERS[tokenizer](F.col(text)).alias("_t"))
-    pair = F.transform(
-        "_t",
-        lambda x, i: F.struct(
-            F.when(i % F.lit(size - bos) != 0, F.get("_t", i - 1)).alias("prev"), x.alias("tok")
-        ),
-    )
-    pairs = held.select(*by, F.inline(pair))
-    pairs = pairs.withColumn("prev", F.coalesce("prev", F.lit(""))) if bos else pairs.filter("prev is not null")
-    return pairs.groupBy(*by, "prev", "tok").agg(F.count("*").alias("n"))
+    before = F.concat(F.array(F.lit("")), "_t")
+    pairs = held.select(*by, F.posexplode(F.arrays_zip("_t", before.alias("_p"))).alias("pos", "_z")).select(
+        *by, "pos", F.col("_z._t").alias("tok"), F.col("_z._p").alias("prev")
+    ).filter("tok is not null")
+    starts = F.col("pos") % F.lit(size - bos) == 0
+    if bos:
+        pairs = pairs.withColumn("prev", F.when(starts, "").otherwise(F.col("prev")))
+    else:
+        pairs = pairs.filter(~starts)
+    return pairs.groupBy(*by, F.xxhash64("prev").alias("prev"), F.xxhash64("tok").alias("tok")).agg(F.count("*").alias("n"))
 
 
 def bigram_scores(df: DataFrame, text: str, by: str, size: int = 1024, bos: int = 0, tokenizer: str = "word") -> DataFrame:
     """Score each corpus with a bigram model of all corpora: -ln(pair / first), per token within chunks.
 
     One pass counts pairs by corpus; windows over the pair types give the model's counts, so
-    neither tokens nor count tables are joined. Windows run over (prev, tok) and prev; types
-    are few beside tokens, and a hot ``prev`` is a streamed window partition.
+    neither tokens nor count tables are joined. Both windows are computed in one shuffle by
+    ``prev``; types are few beside tokens, and a hot ``prev`` is a streamed window partition.
     """
-    types = bigram_types(df, text, [by], size, bos, tokenizer)
+    types = bigram_types(df, text, [by], size, bos, tokenizer).repartition("prev")
     pair = F.sum("n").over(Window.partitionBy("prev", "tok"))
     first = F.sum("n").over(Window.partitionBy("prev"))
     nll = F.col("n") * -F.log(pair / first)
@@ -244,9 +246,9 @@ def score_batches(texts: list[str], model: Scorer, size: int, add_bos: bool, bat
             own = out[row, width - len(ids) :][len(bos) :]
             real = np.array(ids[len(bos) :])
             if len(real) > 1:
-                given = own[:-1].astype(np.float64)
+                given = own[:-1]
                 high = given.max(axis=1, keepdims=True)
-                total = np.log(np.exp(given - high).sum(axis=1)) + high[:, 0]
+                total = np.log(np.exp(given - high).sum(axis=1, dtype=np.float64)) + high[:, 0]
                 nll[i] += float((total - given[np.arange(len(real) - 1), real[1:]]).sum())
     return nll, counts
 
