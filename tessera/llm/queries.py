@@ -15,17 +15,21 @@ from tessera.llm.language import documents_by_language, fit, labelled_sample, na
 from tessera.llm.leakage import leaks, without_leaks
 from tessera.llm.near_duplicates import group_pairs, near_duplicates
 from tessera.llm.packing import MOST_CAPACITIES, fill, packed, token_counts
-from tessera.plans.shared import new_path, written
+from tessera.plans.shared import new_path, spread, written
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    return spread(_read(spark, sf_dir, table).select(*columns))
+
+
 def _two_tables(spark: SparkSession, sf_dir: str, tables: list[tuple[str, str]], *columns: str) -> DataFrame:
     """Union of two tables with ``uid`` = 2 * id + number of the table."""
     parts = [
-        _read(spark, sf_dir, table).select((F.col(key) * 2 + n).alias("uid"), *columns)
+        spread(_read(spark, sf_dir, table).select((F.col(key) * 2 + n).alias("uid"), *columns))
         for n, (table, key) in enumerate(tables)
     ]
     return parts[0].unionByName(parts[1])
@@ -65,22 +69,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of credentials."""
-    return credentials(_read(spark, sf_dir, "github_crawler"))
+    return credentials(_spread(spark, sf_dir, "github_crawler", "file_id", "target_file", "content"))
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files with the credentials masked."""
-    return redacted(_read(spark, sf_dir, "github_crawler"))
+    return redacted(_spread(spark, sf_dir, "github_crawler", "file_id", "target_file", "content"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are generated, minified, third-party or data."""
-    return foreign_files(_read(spark, sf_dir, "github_crawler")).select("file_id")
+    return foreign_files(_spread(spark, sf_dir, "github_crawler", "file_id", "html_url", "target_file", "content")).select("file_id")
 
 
 def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of files by reason."""
-    found = foreign_files(_read(spark, sf_dir, "github_crawler"))
+    found = foreign_files(_spread(spark, sf_dir, "github_crawler", "file_id", "html_url", "target_file", "content"))
     return found.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("files"))
 
 
@@ -90,7 +94,7 @@ P4_TABLES = [("bbc_crawler", "article_id", "extracted_contents"), ("wikipedia_cr
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that belong to the site."""
     parts = [
-        site_lines(_read(spark, sf_dir, table), key, text).select(
+        site_lines(_spread(spark, sf_dir, table, key, text), key, text).select(
             F.lit(table).alias("crawler"), F.col("id").alias("record_id"), "line_no"
         )
         for table, key, text in P4_TABLES
@@ -101,7 +105,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page without the lines of the site."""
     parts = [
-        main_text(_read(spark, sf_dir, table), key, text).select(
+        main_text(_spread(spark, sf_dir, table, key, text), key, text).select(
             F.lit(table).alias("crawler"), F.col("id").alias("record_id"), "text", "removed"
         )
         for table, key, text in P4_TABLES
@@ -128,7 +132,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "window_sizes").select("window_id", "capacity").limit(MOST_CAPACITIES + 1).collect()
-    sizes = written(token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text"), "p6-sizes")
+    sizes = written(token_counts(_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"), "p6-sizes")
     return packed(sizes, {r["window_id"]: r["capacity"] for r in rows})
 
 
@@ -144,13 +148,13 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that give away benchmark items."""
-    found = leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    found = leaks(_spread(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id")
 
 
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents without the passages; a null text marks one to drop."""
-    documents = _read(spark, sf_dir, "documents")
+    documents = _spread(spark, sf_dir, "documents", "doc_id", "text")
     return without_leaks(documents, leaks(documents, _read(spark, sf_dir, "benchmark")))
 
 
@@ -171,7 +175,7 @@ HAVING count(*) >= 0.4 * max(i.n) - 1e-9
 
 
 def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = _read(spark, sf_dir, "documents").filter("source is null or not startswith(source, 'github_')")
+    documents = _spread(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").filter("source is null or not startswith(source, 'github_')")
     return documents, paragraphs(documents, fit(labelled_sample(documents)))
 
 
