@@ -39,18 +39,21 @@ def run_to_table(stream: DataFrame, label: str, wanted: int | None = None) -> Da
     path, state = new_path(spark, label), new_path(spark, f"{label}-state")
     spark.createDataFrame([], stream.schema).write.parquet(path)
     written = {"rows": 0}
-    query: StreamingQuery | None = None
 
     def write(batch: DataFrame, number: int) -> None:
         if wanted is not None and written["rows"] >= wanted:
+            batch.write.format("noop").mode("overwrite").save()
             return
         out = f"{path}/batch={number}"
         batch.write.mode("overwrite").parquet(out)
         if wanted is not None:
             written["rows"] += spark.read.parquet(out).count()
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
+    sink = stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
+    query: StreamingQuery = sink.trigger(availableNow=True).start()
+    while not query.awaitTermination(1):
+        if wanted is not None and written["rows"] >= wanted:
+            query.stop()
     table = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
     return table if wanted is None else table.limit(wanted)
 
