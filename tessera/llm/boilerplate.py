@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +198,12 @@ class Classifier:
         return [i for (i, _), c in zip(kept, chosen) if c]
 
 
+@lru_cache(maxsize=1)
+def classifier() -> Classifier:
+    """Return the trained classifier; it is trained once in a process."""
+    return Classifier()
+
+
 def site_lines(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Return (``id``, ``line_no``) for each site line.
 
@@ -204,7 +211,7 @@ def site_lines(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     returned. Null and empty texts give no rows; other columns are ignored, and repeated pages
     give their rows each.
     """
-    model = pages.sparkSession.sparkContext.broadcast(Classifier())
+    model = pages.sparkSession.sparkContext.broadcast(classifier())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +231,7 @@ def main_text(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     A null page stays null with 0 lines removed.
     """
-    model = pages.sparkSession.sparkContext.broadcast(Classifier())
+    model = pages.sparkSession.sparkContext.broadcast(classifier())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,13 +38,13 @@ _TOOL = re.compile(
     r"|(?:code |file |source )?(?:generated|produced|created|emitted) (?:by|from|with) \S+.*(?:\d\.\d|edit|change|modif|template|instead)"
     r"|(?:converted|exported|compiled|transpiled) (?:by|with) \S+ from\b"
     r"|built with \S+; .*overwritten"
-    r"|.*\bdo not (?:edit|modify)\b.*\bgenerated\b"
     r"|ce fichier (?:est|a été) (?:produit|généré)"
     r"|diese datei wurde (?:automatisch )?(?:erzeugt|generiert|erstellt)|diese datei wurde automatisch"
     r"|este (?:archivo|fichero) (?:fue|es|ha sido) (?:generado|creado|producido)"
     r")",
     re.I,
 )
+_WARNING = re.compile(r"\bdo not (?:edit|modify|change)\b", re.I)
 _ORIGIN = re.compile(
     r"^(?:bundled copy\b|vendored (?:from|copy)\b|imported third-party\b|third-party source\b"
     r"|(?:taken|copied|imported|vendored) from https?://\S+.*(?:release|version|commit|tag|patch)"
@@ -72,7 +72,7 @@ def reasons(path: str | None, content: str) -> list[str]:
     if not lines:
         return found
     for m in _COMMENT.finditer(content):
-        if "tool" not in found and _TOOL.match(m[1]):
+        if "tool" not in found and (_TOOL.match(m[1]) or (_WARNING.search(m[1]) and "generated" in m[1].lower())):
             found.append("tool")
         if "origin" not in found and _ORIGIN.match(m[1]):
             found.append("origin")

@@ -31,7 +31,7 @@ SPELLINGS = {
     "zh": ["zh", "zho", "chi", "cmn", "chinese", "中文", "汉语", "漢語"],
 }
 SAMPLE = 200  # labelled documents per language used to fit
-TABLE, BITS, LETTERS, LEAD = 1 << 15, 15, 4, 0.1
+TABLE, BITS, LETTERS, LEAD, BLOCK = 1 << 15, 15, 4, 0.1, 500_000
 _LINK = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\S+")
 
 
@@ -102,9 +102,10 @@ class Model:
         """Return the mean score of each paragraph for each bit, and its number of letters."""
         letters = np.bincount(paragraph, minlength=n)
         sums = np.zeros((n, BITS), np.float32)
-        if len(grams):
-            starts = np.flatnonzero(np.diff(paragraph, prepend=-1))
-            sums[paragraph[starts]] = np.add.reduceat(self.weights[grams], starts, axis=0)
+        for at in range(0, len(grams), BLOCK):
+            own = paragraph[at : at + BLOCK]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            sums[own[starts]] += np.add.reduceat(self.weights[grams[at : at + BLOCK]], starts, axis=0)
         return sums / np.maximum(letters, 1)[:, None], letters
 
     def decode(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

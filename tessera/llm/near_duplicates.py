@@ -30,7 +30,7 @@ from tessera.llm.links import components, verified
 from tessera.llm.words import WordHashes, mix, shingles
 from tessera.plans.shared import written
 
-SEGMENTS, BITS, FUNCTIONS = 12, 23, 128
+SEGMENTS, BITS, FUNCTIONS, BLOCK = 12, 23, 128, 8192
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
 
@@ -77,10 +77,22 @@ class Sketcher:
         self.segment = mix(np.arange(1, SEGMENTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def least(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Return the anchors (hashes of shingles) and the least value of every function."""
-        x = (grams >> np.uint64(32)).astype(np.uint32)
-        values = (x[None, :] ^ self.xor[:, None]) * self.times[:, None]
-        return grams[values[:SEGMENTS].argmin(axis=1)], values.min(axis=1)
+        """Return the anchors (hashes of shingles) and the least value of every function.
+
+        Long texts are taken in blocks, so memory does not grow with them.
+        """
+        anchors = least = None
+        for start in range(0, len(grams), BLOCK):
+            own = grams[start : start + BLOCK]
+            x = (own >> np.uint64(32)).astype(np.uint32)
+            values = (x[None, :] ^ self.xor[:, None]) * self.times[:, None]
+            found, low = own[values[:SEGMENTS].argmin(axis=1)], values.min(axis=1)
+            if least is None:
+                anchors, least = found, low
+            else:
+                anchors = np.where(low[:SEGMENTS] < least[:SEGMENTS], found, anchors)
+                least = np.minimum(low, least)
+        return anchors, least
 
     def segments(self, values: np.ndarray) -> np.ndarray:
         """Return the fingerprint of each text as words of 23 bits."""
