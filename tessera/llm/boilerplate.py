@@ -24,6 +24,7 @@ from tessera.llm import labelled_blocks
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _SPLIT = re.compile(r"\s*[|·•\t/>]\s*|\s{2,}|,\s+|\s+-\s+")
+_BAR = re.compile(r"[|·•\t/>]|\s{2,}")
 _JOINED = re.compile(r"[a-zà-ÿ][A-Z]")
 _END = re.compile(r"[.!?。！？؟…][\"”’'»)\]]*\s*$")
 FEATURES = (
@@ -33,7 +34,10 @@ FEATURES = (
 
 
 def tokens(line: str) -> list[str]:
-    """Return lower-case words and pairs of words; for Chinese and Japanese, pairs of characters."""
+    """Return lower-case words and pairs of words, and a short line as a whole.
+
+    For Chinese and Japanese these are pairs of characters.
+    """
     out: list[str] = []
     words = []
     for w in _WORD.findall(line.lower()):
@@ -43,7 +47,8 @@ def tokens(line: str) -> list[str]:
             words.append(w)
     if "©" in line:
         words.append("©")
-    return out + words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+    whole = ["^" + " ".join(words)] if 0 < len(words) <= 4 else []
+    return out + words + [f"{a} {b}" for a, b in zip(words, words[1:])] + whole
 
 
 def length(line: str) -> float:
@@ -54,6 +59,8 @@ def length(line: str) -> float:
 
 def link_density(line: str) -> float:
     """Return the share of the line that lies in a list of labels of at most four words."""
+    if _END.search(line) and not _BAR.search(line):
+        return 0.0
     parts = [p for p in _SPLIT.split(line.strip()) if p]
     if len(parts) >= 3:
         labels = [p for p in parts if len(p.split()) <= 4 and length(p) <= 6 and not _END.search(p)]
@@ -90,7 +97,7 @@ class Tree:
         self.feature = -1
         if depth == 0 or self.value in (0.0, 1.0) or len(y) < 2 * least:
             return
-        best = (1e-9, -1, 0.0)
+        best = (1.0, -1, 0.0)
         impurity = self.value * (1 - self.value) * len(y)
         for f in range(x.shape[1]):
             order = np.argsort(x[:, f], kind="stable")
@@ -100,7 +107,7 @@ class Tree:
             rest, m = t.sum() - ones, len(t) - n
             gain = impurity - ones * (1 - ones / n) - rest * (1 - rest / m)
             gain[(v[1:] == v[:-1]) | (n < least) | (m < least)] = 0
-            if len(gain) and gain.max() > best[0] + 1e-9:
+            if len(gain) and gain.max() > best[0]:
                 i = int(gain.argmax())
                 best = (float(gain[i]), f, (v[i] + v[i + 1]) / 2)
         _, self.feature, self.cut = best
@@ -136,12 +143,13 @@ class Classifier:
     so learns what to do with words it has not seen.
     """
 
-    def __init__(self, n: int = 1600, seed: int = 7) -> None:
+    def __init__(self, n: int = 2400, seed: int = 7) -> None:
         pages = labelled_blocks.Maker(seed).pages(n // 2)
         self.odds = Odds([line for page in pages for line in page])
         tables = [labelled_blocks.NEWS, *labelled_blocks.ENCYCLOPEDIA.values()]
         self.openers = {self._plain(x) for table in tables for x in labelled_blocks.lines(table, "opener")}
         self.openers |= {"tags", "topics"}
+        self.starts = tuple(f"{x}{end}" for x in sorted(self.openers) for end in (" ", ":"))
         self.memory: dict[str, tuple] = {}
         rest = labelled_blocks.Maker(seed + 1, foreign=True).pages(n // 2)
         x = np.concatenate([self.features([line for _, line in page]) for page in rest])
@@ -156,7 +164,8 @@ class Classifier:
         if line in self.memory:
             return self.memory[line]
         words = length(line)
-        opens = self._plain(line) in self.openers
+        plain = self._plain(line)
+        opens = 1.0 if plain in self.openers else 0.5 * plain.startswith(self.starts)
         start = re.match(r"\s*\d+[.)]?\s+\S", line) is not None
         own = (words, bool(_END.search(line)), link_density(line), *self.odds.score(line), opens, start)
         if words < 12:
@@ -170,7 +179,7 @@ class Classifier:
         own = [self._own(line) for line in lines]
         n = len(own)
         body = [w >= 8 and ends and site < 0.5 and links < 0.5 for w, ends, links, site, *_ in own]
-        edge = (0, False, 1.0, 1.0, 1.0, False, False)
+        edge = (0, False, 1.0, 1.0, 1.0, 0.0, False)
         out = np.zeros((n, len(FEATURES)))
         above, listed = False, False
         for i, (words, ends, links, site, known, opens, number) in enumerate(own):
@@ -182,7 +191,7 @@ class Classifier:
                 before[0], after[0], before[2], after[2], before[3], after[3], above,
             )
             above |= body[i]
-            listed |= opens
+            listed |= opens == 1
         below = False
         for i in range(n - 1, -1, -1):
             out[i, 15] = below

@@ -42,14 +42,14 @@ _LONG = (
 _SHORT = r"(?:pass|pwd|pw|clave|senha|parola)"
 _NAME = rf"(?:{_LONG}|{_SHORT})"
 _TELLING = (
-    rf"(?i:{_LONG}|(?<![a-z]){_SHORT})(?:_?(?:\d+|prod|dev|live|test|value|text))?(?![A-Za-z0-9_-])"
+    rf"(?:(?i:{_LONG}|(?<![a-z]){_SHORT})|(?<=[a-z])(?:Pass|Pwd|Pw|Clave))(?:_?(?:\d+|prod|dev|live|test|value|text))?(?![A-Za-z0-9_-])"
 )
 _QUOTED = r"(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<t>[^`\n]*)`)"
 _ASSIGN = re.compile(
     rf"{_TELLING}[\"'`]?\]?(?:\[\])?\s*(?::=|===?|!==?|=>|[:=,{{(]|\s)\s*\(?\s*(?:[rbuLf]|std::string\()?{_QUOTED}"
 )
 _MORE = re.compile(rf"\s*(?:\+|\.|\\\r?\n)?\s*{_QUOTED}")
-_AFTER = re.compile(rf"{_QUOTED}\s*\)\s*(?:[A-Za-z<>]+\s+)+{_TELLING}")
+_AFTER = re.compile(rf"{_QUOTED}\s*\)\s*(?:[A-Za-z<>]+\s+)+\w*?{_TELLING}")
 _BARE = re.compile(rf"^[ \t]*(?:-[ \t]+|export[ \t]+|set[ \t]+)?[\w.-]*?{_TELLING}[ \t]*[:=][ \t]*(?P<v>[^\s\"'`#][^\s\"'`]*)[ \t]*\r?$", re.M)
 _INSIDE = re.compile(rf"{_TELLING}=(?P<v>[^\s\"'`&;,)(<>]+)")
 _HEADER = re.compile(
