@@ -161,3 +161,11 @@ def characters(c: Column) -> Column:
 
 
 TOKENIZERS = {"word": words, "char": characters}
+
+
+def repr_bytes(c: Column) -> Column:
+    """Count the UTF-8 bytes of a string as Python writes it in a list, with quotes and escapes.
+
+    Kept for comparison with old statistics; ``byte_length`` is the size of the text.
+    """
+    return F.pandas_udf(lambda s: s.map(lambda x: len(repr(x).encode("utf-8", "backslashreplace"))).astype("int64"), "long")(c)

@@ -45,15 +45,17 @@ def read_corpora(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Read a folder of run logs, one object a file; keys that a log lacks are null."""
-    return (
-        spark.read.schema(RUN_LOG)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
-        .option("allowNonNumericNumbers", True)
-        .json(path)
-        .select("*", F.col("_metadata.file_modification_time").alias("run_ts"))
+    """Read a folder of run logs; keys that a log lacks are null.
+
+    A file holds one object, over as many lines as it likes, or one object a line.
+    """
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    objects = F.split(F.regexp_replace("value", r"\}\s*\n\s*\{", "}\u0001{"), "\u0001")
+    rows = files.select(F.explode(objects).alias("value"), F.col("_metadata.file_modification_time").alias("run_ts"))
+    parsed = rows.filter(F.trim("value") != "").select(
+        F.from_json("value", RUN_LOG, {"allowNonNumericNumbers": "true"}).alias("log"), "run_ts"
     )
+    return parsed.select("log.*", "run_ts")
 
 
 def read_archives(spark: SparkSession, path: str, ending: str = ".tex") -> DataFrame:

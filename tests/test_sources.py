@@ -40,9 +40,11 @@ def test_run_logs(spark, tmp_path):
     assert rows[0]["model_args"]["a"] == "true"
     assert rows[0]["avg bytes"] is None
     assert rows[1]["data_path"] == "p"
-    sinks.write_run_logs(spark.createDataFrame([(1.0,)], "neg_log_prob_sum double"), str(tmp_path / "logs"))
+    sinks.write_run_logs(spark.createDataFrame([(1.0,), (3.0,)], "neg_log_prob_sum double").coalesce(1), str(tmp_path / "logs"))
     sinks.write_run_logs(spark.createDataFrame([(2.0,)], "neg_log_prob_sum double"), str(tmp_path / "logs"))
     assert spark.read.json(str(tmp_path / "logs")).select("run_id").distinct().count() == 2
+    again = files.read_run_logs(spark, str(tmp_path / "logs"))
+    assert sorted(r["neg_log_prob_sum"] for r in again.collect()) == [1.0, 2.0, 3.0]
 
 
 def test_archives(spark, tmp_path):

@@ -40,6 +40,7 @@ def values(spark, rows, expression):
         (T.collapse_spaces, lambda s: re.sub(" +", " ", s)),
         (T.letter_count, lambda s: len(re.findall("[a-zA-Z]", s))),
         (T.words, str.split),
+        (T.repr_bytes, lambda s: len(repr(s).encode())),
         (T.basename, lambda s: s.split("/")[-1]),
         (lambda c: T.join_paragraphs(F.array(c, c)), lambda s: re.sub(r"\n+", "\n", (s + s).replace(" ", "\n")).strip()),
     ],
