@@ -151,8 +151,7 @@ def header_label(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Return the runs of characters that are not white space."""
-    spaced = collapse_whitespace(c)
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(collapse_whitespace(c), " "), "")
 
 
 def characters(c: Column) -> Column:

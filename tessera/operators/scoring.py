@@ -120,14 +120,14 @@ def bigram_scores(df: DataFrame, text: str, by: str, size: int = 1024, bos: int
     """Score each corpus with a bigram model of all corpora: -ln(pair / first), per token within chunks.
 
     One pass counts pairs by corpus; windows over the pair types give the model's counts, so
-    neither tokens nor count tables are joined. Both windows are computed in one shuffle by
+    neither tokens nor count tables are joined. Both windows share one shuffle by
     ``prev``; types are few beside tokens, and a hot ``prev`` is a streamed window partition.
     """
     types = bigram_types(df, text, [by], size, bos, tokenizer).repartition("prev")
-    pair = F.sum("n").over(Window.partitionBy("prev", "tok"))
-    first = F.sum("n").over(Window.partitionBy("prev"))
-    nll = F.col("n") * -F.log(pair / first)
-    return types.select(by, "n", nll.alias("_nll")).groupBy(by).agg(F.sum("_nll").alias("nll"), F.sum("n").alias("scored"))
+    pairs = types.withColumn("_pair", F.sum("n").over(Window.partitionBy("prev", "tok")))
+    counts = pairs.withColumn("_first", F.sum("n").over(Window.partitionBy("prev")))
+    nll = F.col("n") * -F.log(F.col("_pair") / F.col("_first"))
+    return counts.select(by, "n", nll.alias("_nll")).groupBy(by).agg(F.sum("_nll").alias("nll"), F.sum("n").alias("scored"))
 
 
 def run_log(scores: DataFrame, *by: str) -> DataFrame:
