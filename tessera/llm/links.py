@@ -13,6 +13,24 @@ from tessera.llm.words import WordHashes, shingles, similarity
 from tessera.plans.shared import written
 
 
+#: Bits of the table of wanted ids: at most 262,144 rows of 16 bytes, whatever the data.
+BITMAP = 1 << 24
+
+
+def _only(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Leave out texts that no pair asks for, before they are shuffled.
+
+    The ids asked for are hashed into a bitmap of fixed size, which is broadcast. A text that
+    shares a bit with one that is asked for comes along and finds no partner in the join.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    word, place = F.shiftright(bit, 6), F.pmod(bit, F.lit(64)).cast("int")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    bitmap = asked.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
+    held = texts.withColumns({"_word": word, "_place": place}).join(F.broadcast(bitmap), "_word")
+    return held.filter(F.call_function("shiftright", F.col("_bits"), F.col("_place")).bitwiseAND(F.lit(1)) == 1).drop("_word", "_place", "_bits")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Keep the pairs (``a``, ``b``) whose texts reach ``threshold``.
 
@@ -20,6 +38,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     words. Both texts of a pair meet by two equi-joins; rows arrive sorted by ``a``, so the
     set of ``a`` is made once for all its partners and nothing but one set is held.
     """
+    texts = _only(texts.select("id", "text"), pairs)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = (
