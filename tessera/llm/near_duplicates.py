@@ -11,8 +11,8 @@
    texts of a large collection apart, the index splits the texts behind a popular anchor.
    A pair of similarity 0.7 has a common key with probability 0.9987, one of 0.75 with 0.9999.
 3. Join and verify. Texts with the same shingle set are first folded into one representative.
-   Texts that share a key, and whose 64-bit sketches do not rule out the threshold, are
-   compared on their whole shingle sets.
+   Texts that share a key, and whose 116 fingerprint bits do not rule out the threshold (one
+   linked pair in 10^5 fails that), are compared on their whole shingle sets.
 4. Groups are the connected components of the verified links.
 """
 
@@ -65,7 +65,7 @@ class Golay:
 
 
 class Sketcher:
-    """Anchors, fingerprint segments and a 64-bit sketch of shingle sets."""
+    """Anchors, fingerprint bits and their segments, of shingle sets."""
 
     def __init__(self, seed: int = 20240501) -> None:
         rng = np.random.default_rng(seed)
@@ -109,14 +109,17 @@ class Sketcher:
         return keys[new].view(np.int64), new.reshape(len(new), -1).sum(axis=1)
 
     @staticmethod
-    def sketch(values: np.ndarray) -> np.ndarray:
-        """Return 64 bits of the fingerprint of each text."""
-        bits = (values[:, FUNCTIONS - 64 :] >> np.uint32(13)) & np.uint32(1)
-        return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    def sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Return all bits of the fingerprint of each text, as two numbers."""
+        bits = ((values[:, SEGMENTS:] >> np.uint32(13)) & np.uint32(1)).astype(np.uint64)
+        parts = (bits[:, :64], bits[:, 64:])
+        return tuple(
+            (b << np.arange(b.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) for b in parts
+        )
 
 
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """Return (``id``, ``same_a``, ``same_b``, ``sketch``, ``keys``) for texts with a shingle.
+    """Return (``id``, ``same_a``, ``same_b``, ``print_a``, ``print_b``, ``keys``) for texts with a shingle.
 
     ``same_a`` and ``same_b`` together identify the scope and the shingle set.
     """
@@ -148,19 +151,19 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
                         pa.array(ids, pa.int64()),
                         pa.array((np.array(same_a) ^ salt).view(np.int64)),
                         pa.array(np.array(same_b).view(np.int64)),
-                        pa.array(sketcher.sketch(values)),
+                        *map(pa.array, sketcher.sketch(values)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                     ],
-                    ["id", "same_a", "same_b", "sketch", "keys"],
+                    ["id", "same_a", "same_b", "print_a", "print_b", "keys"],
                 )
 
     return texts.select("id", "text", "scope").filter("text is not null").mapInArrow(
-        make, "id long, same_a long, same_b long, sketch long, keys array<long>"
+        make, "id long, same_a long, same_b long, print_a long, print_b long, keys array<long>"
     )
 
 
-def most_errors(threshold: float, bits: int = 64) -> int:
-    """Return the number of differing sketch bits that a linked pair exceeds once in 10^5."""
+def most_errors(threshold: float, bits: int = FUNCTIONS - SEGMENTS) -> int:
+    """Return the number of differing fingerprint bits that a linked pair exceeds once in 10^5."""
     p = (1 - threshold) / 2
     return int(np.ceil(bits * p + 4.3 * np.sqrt(bits * p * (1 - p))))
 
@@ -187,12 +190,13 @@ def near_duplicates(
         made.select("id", "same_a", "same_b").join(first, ["same_a", "same_b"]).select("id", "copy_of"), "p1-members"
     )
     lone = made.join(members.filter("id = copy_of").select("id"), "id", "left_semi")
-    keys = lone.select(F.explode("keys").alias("key"), "id", "sketch")
-    other = keys.select("key", F.col("id").alias("b"), F.col("sketch").alias("other"))
+    keys = lone.select(F.explode("keys").alias("key"), "id", "print_a", "print_b")
+    other = keys.select("key", F.col("id").alias("b"), F.col("print_a").alias("other_a"), F.col("print_b").alias("other_b"))
+    errors = "bit_count(print_a ^ other_a) + bit_count(print_b ^ other_b)"
     pairs = (
         keys.withColumnRenamed("id", "a")
         .join(other.hint("merge"), "key")
-        .filter(f"a < b and bit_count(sketch ^ other) <= {most_errors(threshold)}")
+        .filter(f"a < b and {errors} <= {most_errors(threshold)}")
         .select("a", "b")
         .distinct()
     )
