@@ -138,6 +138,10 @@ class History:
     def __init__(self, spark: SparkSession, path: str, shingle: int = 5, threshold: float = 0.8) -> None:
         self.spark, self.path, self.shingle, self.threshold = spark, path, shingle, threshold
 
+    def nothing(self) -> DataFrame:
+        """Return the result of a check that rejects nothing."""
+        return self.spark.createDataFrame([], "id_a long, id_b long")
+
     def _append(self, classes: DataFrame) -> None:
         classes.select("id", "anchors", "segments").write.mode("append").parquet(f"{self.path}/records")
         chunk_rows(classes).write.mode("append").parquet(f"{self.path}/chunks")
