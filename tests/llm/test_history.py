@@ -45,6 +45,29 @@ def test_common_chunks(spark, monkeypatch):
     assert run(spark, rows, False) == brute.rejected(rows, 3, 0.7)
 
 
+def one_chunk(r, vocab, n):
+    """Random words without a chunk boundary among them."""
+    hashes = WordHashes()
+    while True:
+        words = r.choices(vocab, k=n)
+        if len(chunk(np.array([hashes[x] for x in words], np.uint64), np.ones(n, np.int32))[0]) == 1:
+            return words
+
+
+def edited(words, at):
+    return [*words[:at], "edited", *words[at + 1 :]]
+
+
+def test_edits_outside_a_common_chunk(spark, monkeypatch):
+    monkeypatch.setattr(history, "HOT", 4)
+    r = random.Random(3)
+    header = "this work may be used by anyone who keeps this notice".split()
+    bodies = [one_chunk(r, [f"body{i}" for i in range(2000)], 30) for _ in range(20)]
+    texts = [header + body for body in bodies] + [header + edited(body, 15) for body in bodies]
+    rows = [(i, int(i >= 20), " ".join(text)) for i, text in enumerate(texts)]
+    assert run(spark, rows, False) == brute.rejected(rows, 3, 0.7) == {20 + i: i for i in range(20)}
+
+
 def test_chain_is_decided_in_order(spark):
     words = [f"v{i}" for i in range(200)]
     rows = [(i, int(i > 0), " ".join(words[i * 6 : i * 6 + 80])) for i in range(12)]
