@@ -68,6 +68,13 @@ def test_edits_outside_a_common_chunk(spark, monkeypatch):
     assert run(spark, rows, False) == brute.rejected(rows, 3, 0.7) == {20 + i: i for i in range(20)}
 
 
+def test_short_texts(spark):
+    r = random.Random(4)
+    texts = [one_chunk(r, [f"word{i}" for i in range(2000)], 20) for _ in range(20)]
+    rows = [(i, int(i >= 20), " ".join(x)) for i, x in enumerate([*texts, *(edited(x, 10) for x in texts)])]
+    assert run(spark, rows, False) == brute.rejected(rows, 3, 0.7) == {20 + i: i for i in range(20)}
+
+
 def test_chain_is_decided_in_order(spark):
     words = [f"v{i}" for i in range(200)]
     rows = [(i, int(i > 0), " ".join(words[i * 6 : i * 6 + 80])) for i in range(12)]
