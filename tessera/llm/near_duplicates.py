@@ -11,8 +11,8 @@
    texts of a large collection apart, the index splits the texts behind a popular anchor.
    A pair of similarity 0.7 has a common key with probability 0.9987, one of 0.75 with 0.9999.
 3. Join and verify. Texts with the same shingle set are first folded into one representative.
-   Texts that share a key, and whose 116 fingerprint bits do not rule out the threshold (one
-   linked pair in 10^5 fails that), are compared on their whole shingle sets.
+   Texts that share a key, and whose 116 fingerprint bits do not rule out the threshold (2.6
+   linked pairs in 10^5 fail that at 0.7), are compared on their whole shingle sets.
 4. Groups are the connected components of the verified links.
 """
 
@@ -163,7 +163,7 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def most_errors(threshold: float, bits: int = FUNCTIONS - SEGMENTS) -> int:
-    """Return the number of differing fingerprint bits that a linked pair exceeds once in 10^5."""
+    """Return the number of differing fingerprint bits that few linked pairs exceed: 2.6 in 10^5 at 0.7."""
     p = (1 - threshold) / 2
     return int(np.ceil(bits * p + 4.3 * np.sqrt(bits * p * (1 - p))))
 
