@@ -1,192 +1,232 @@
 """Problem 5: new batches against everything accepted before, by content-defined chunking.
 
-A rolling hash over two words sets chunk boundaries (one in eight on average), so an edit
-changes only the chunks around it. A persistent table maps each chunk to the accepted records
-that hold it; a batch is chunked alone and joined with that table, which gives the bytes that
-each new record shares with each accepted one. Pairs of enough coverage are compared on their
-shingle sets, records are decided in order, and the chunks of those accepted are appended.
-No text of the history is read again except that of the candidates being compared.
-
-Records with one and the same shingle set form a class, which is chunked and compared once.
-
-A chunk held by more than ``HOT`` classes (a licence header, a stock snippet) makes no pairs, and
-a short text may be one chunk, which any edit changes. So every new record also gets the Golay
-keys of problem 1 and is compared with every record that shares one of them: a pair is missed
-only if neither its chunks nor its keys (0.9987 at a similarity of 0.7) suggest it. Before the
-texts are fetched, pairs are left out whose shingle sets cannot reach the threshold: an upper
-bound from a bitmap of each set, which loses no pair.
-
-Ids must not fall from one turn to the next: order of arrival is order of id.
+A rolling hash over the words of a text opens a chunk wherever it falls on a multiple of the
+text's step, and a chunk is known by the window that opens it. An edit inside a chunk therefore
+leaves the chunk known: two texts of similarity J share a share of chunks that is J on average,
+not the few chunks without any edit. The step is a power of two that gives a text 32 to 64 chunks;
+a text of fewer than 64 windows has a chunk at each of them, so short texts are compared
+exactly. Texts of neighbouring steps meet on the chunks of the greater step.
+
+The history is a store of three tables, bucketed by key and partitioned by batch:
+
+* ``chunks``: which accepted records hold a chunk, and how many bytes of each it covers;
+* ``holders``: how many records of each batch hold it, so that counts are added to, not recounted;
+* ``records``: the figures of each record.
+
+A batch is chunked alone. Only the batch is shuffled: the store is read in its buckets, streamed
+past the batch's chunks, and only rows of a chunk that the batch holds go on. Their bytes and numbers
+are totalled by pair; pairs of enough coverage are compared on their texts, records are decided in
+order, and the chunks of those accepted are appended. A batch overwrites its own partition and
+reads those before it, so a batch that is tried again gives the same store.
+
+Nothing is capped. A record leaves out its commonest chunks only if they are hot (more than ``HOT``
+holders) and only as many of them as a linked pair can do without: whoever reaches the threshold
+shares one of the rest, and counts as if it shared all those left out. Chunks of very many holders
+are spread over several keys, so no task gets all rows of a stock chunk.
+
+A linked pair is lost only if it shares fewer chunks than ``LOSS`` allows: once in a million at
+exactly the threshold. Ids must not fall from one batch to the next: order of arrival is order of id.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.links import verified
-from tessera.llm.near_duplicates import SEGMENTS, Sketcher
 from tessera.llm.words import WORD, WordHashes, mix, shingles
 from tessera.plans.shared import written
 
-HOT, COVERAGE, BITMAP = 64, 0.1, 512
-_POSITION = np.uint64(0xD6E8FEB86659FD93)
+#: Chunks of a text: at least so many on average. Holders beyond which a chunk is hot, and by key.
+CHUNKS, HOT, SPLIT = 32, 64, 100_000
+#: Probability that a pair at the threshold shares fewer chunks than asked for; least share of bytes.
+LOSS, COVERAGE = 1e-6, 0.05
+_LEVEL = np.uint64(40)
 
 
-def chunk(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Return the distinct chunk hashes of a text and their bytes."""
-    n = len(words)
-    rolled = mix(words[:-1] * _POSITION + words[1:])
-    starts = np.concatenate([[0], np.flatnonzero((rolled & np.uint64(7)) == 0) + 1])
-    sizes = np.diff(np.append(starts, n))
-    place = (np.arange(n) - np.repeat(starts, sizes)).astype(np.uint64)
-    hashes = mix(np.add.reduceat(mix(words + place * _POSITION), starts))
-    found, at = np.unique(hashes, return_index=True)
-    return found, np.add.reduceat(lengths, starts)[at]
+def step_of(windows: int) -> int:
+    """Return the mean distance of chunks, in windows, for a text of so many distinct windows."""
+    return 1 if windows < 2 * CHUNKS else 1 << int(math.log2(windows / CHUNKS))
 
 
-def bitmap(grams: np.ndarray) -> np.ndarray:
-    """Return ``BITMAP`` bits, as numbers of 64: the ones that the shingles of a text fall on."""
-    bits = np.zeros(BITMAP, bool)
-    bits[(grams % np.uint64(BITMAP)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.int64)
+def chunk(grams: np.ndarray, ends: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Return the distinct chunks of a text, their bytes, and whether they also open one at twice the step.
 
-
-def possible(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
-    """Keep the pairs (``a``, ``b``) that may reach ``threshold``; none that reaches it is lost.
-
-    A shingle whose bit the other text does not set is not shared, which bounds the number of
-    shared ones from above. ``prints`` has ``id``, ``grams`` and ``bits``.
+    ``grams`` are the hashes of the windows in order, ``ends`` the bytes up to each word.
+    """
+    level = grams >> _LEVEL
+    starts = np.flatnonzero((level & np.uint64(step - 1)) == 0)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, bool)
+    before = np.concatenate([[0], ends])[starts]
+    sizes = np.diff(np.append(before, ends[-1]))
+    found, at = np.unique(grams[starts], return_inverse=True)
+    coarse = ((found >> _LEVEL) & np.uint64(2 * step - 1)) == 0
+    return found, np.bincount(at, sizes).astype(np.int32), coarse
+
+
+def least_shared(chunks: int, threshold: float) -> int:
+    """Return how many of so many chunks a pair at the threshold shares but for a chance of ``LOSS``."""
+    total = 0.0
+    for shared in range(chunks + 1):
+        total += math.comb(chunks, shared) * threshold**shared * (1 - threshold) ** (chunks - shared)
+        if total > LOSS:
+            return shared
+    return chunks
+
+
+CLASSES = (
+    "id long, same_a long, same_b long, windows int, total int, step int, least int, coarse_least int,"
+    " chunks array<long>, sizes array<int>, coarse array<boolean>"
+)
+
+
+def chunked(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Return the class and the chunks of each text that has a window of ``shingle`` words.
+
+    ``least`` is the number of its chunks that a linked text shares at the least, ``coarse_least``
+    that of its chunks at twice the step.
     """
-
-    def side(x: str) -> DataFrame:
-        return prints.select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}"), F.col("bits").alias(f"bits_{x}"))
-
-    def shared(x: str, y: str) -> str:
-        alone = " + ".join(f"bit_count(bits_{x}[{i}] & ~bits_{y}[{i}])" for i in range(BITMAP // 64))
-        return f"grams_{x} - ({alone})"
-
-    share = (threshold - 1e-9) / (1 + threshold)
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(f"least({shared('a', 'b')}, {shared('b', 'a')}) >= {share} * (grams_a + grams_b)")
-        .select("a", "b")
-    )
-
-
-def chunked(texts: DataFrame, shingle: int) -> DataFrame:
-    """Return the class, the chunks and the fingerprint of each text that has a shingle."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketcher = WordHashes(), Sketcher()
+        hashes = WordHashes()
+        needed = [least_shared(k, threshold) for k in range(257)]
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                ids, scopes, same_a, same_b, counts, bits = [], [], [], [], [], []
-                chunks, sizes, anchors, values = [], [], [], []
+                rows, chunks, sizes, coarse = [], [], [], []
                 for i, text, scope in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                     words = WORD.findall(text.as_py().lower())
-                    hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    grams = np.unique(shingles(hashed, shingle))
+                    grams = shingles(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), shingle)
                     if not len(grams):
                         continue
-                    ids.append(i)
-                    scopes.append(scope)
-                    same_a.append(grams.sum(dtype=np.uint64))
-                    same_b.append(mix(grams).sum(dtype=np.uint64) + np.uint64(len(grams)))
-                    counts.append(len(grams))
-                    bits.append(bitmap(grams))
-                    found, size = chunk(hashed, np.fromiter(map(len, words), np.int32, len(words)))
-                    chunks.append(found)
+                    bare = words if text.as_py().isascii() else [w.encode("utf-8", "replace") for w in words]
+                    ends = np.cumsum(np.fromiter(map(len, bare), np.int64, len(words)))
+                    distinct = np.unique(grams)
+                    step = step_of(len(distinct))
+                    found, size, both = chunk(grams, ends, step)
+                    salt = mix(np.array([scope], np.int64).view(np.uint64))[0]
+                    least = math.ceil(threshold * len(found) - 1e-9) if step == 1 else needed[min(len(found), 256)]
+                    rows.append(
+                        (
+                            i,
+                            int((distinct.sum(dtype=np.uint64) ^ salt).view(np.int64)),
+                            int((mix(distinct).sum(dtype=np.uint64) + np.uint64(len(distinct))).view(np.int64)),
+                            len(distinct),
+                            int(ends[-1]),
+                            step,
+                            least,
+                            needed[min(int(both.sum()), 256)],
+                        )
+                    )
+                    chunks.append(found ^ salt)
                     sizes.append(size)
-                    anchor, value = sketcher.least(grams)
-                    anchors.append(anchor)
-                    values.append(value)
-                if not ids:
+                    coarse.append(both)
+                if not rows:
                     continue
-                salt = mix(np.array(scopes, np.int64).view(np.uint64))
-                ends = np.cumsum([0, *map(len, chunks)]).astype(np.int32)
-                flat = np.concatenate(chunks) ^ np.repeat(salt, np.diff(ends))
-                places = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (BITMAP // 64))
-                steps = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * SEGMENTS)
+                ends = pa.array(np.cumsum([0, *map(len, chunks)]).astype(np.int32))
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array((np.array(same_a) ^ salt).view(np.int64)),
-                        pa.array(np.array(same_b).view(np.int64)),
-                        pa.array(counts, pa.int32()),
-                        pa.ListArray.from_arrays(places, pa.array(np.concatenate(bits))),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sizes).astype(np.int32))),
-                        pa.ListArray.from_arrays(steps, pa.array((np.array(anchors) ^ salt[:, None]).view(np.int64).ravel())),
-                        pa.ListArray.from_arrays(steps, pa.array(sketcher.segments(np.array(values)).ravel())),
+                    [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+                    + [
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(chunks).view(np.int64))),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sizes))),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(coarse))),
                     ],
-                    ["id", "same_a", "same_b", "grams", "bits", "chunks", "sizes", "anchors", "segments"],
+                    [part.split()[0] for part in CLASSES.split(", ")],
                 )
 
-    kept = texts.select("id", "text", "scope").filter("text is not null")
-    return kept.mapInArrow(
-        make,
-        "id long, same_a long, same_b long, grams int, bits array<long>, chunks array<long>, sizes array<int>, "
-        "anchors array<long>, segments array<int>",
-    )
+    return texts.select("id", "text", "scope").filter("text is not null").mapInArrow(make, CLASSES)
 
 
-def keyed(records: DataFrame) -> DataFrame:
-    """Return (``key``, ``id``): the Golay keys of records with ``anchors`` and ``segments``."""
+def chunk_rows(records: DataFrame) -> DataFrame:
+    """Return one row for each chunk of each record."""
+    zipped = F.explode(F.arrays_zip("chunks", "sizes", "coarse")).alias("c")
+    return records.select("id", "windows", "total", "step", "least", "coarse_least", zipped).select(
+        F.col("c.chunks").alias("chunk"), "id", F.col("c.sizes").alias("size"), "windows", "step",
+        F.col("c.coarse").alias("coarse"), "total", "least", "coarse_least",
+    )
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher()
-        for batch in batches:
-            if batch.num_rows:
-                n = batch.num_rows
-                anchors = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
-                segments = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                keys, counts = sketcher.expand(anchors, segments)
-                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
 
-    return records.select("id", "anchors", "segments").mapInArrow(make, "key long, id long")
+def keys(holders: Column) -> Column:
+    """Return over how many keys the rows of a chunk of so many holders are spread."""
+    return (F.lit(1) + F.floor(holders / SPLIT)).cast("int")
 
 
-def chunk_rows(records: DataFrame) -> DataFrame:
-    """Return (``chunk``, ``id``, ``size``, ``total``) of records with ``chunks`` and ``sizes``."""
-    total = F.aggregate("sizes", F.lit(0), lambda x, y: x + y)
-    return records.select("id", total.alias("total"), F.explode(F.arrays_zip("chunks", "sizes")).alias("c")).select(
-        F.col("c.chunks").alias("chunk"), "id", F.col("c.sizes").alias("size"), "total"
-    )
+def key(chunk: Column, part: Column) -> Column:
+    """Return the key of a part of a chunk's rows; that of part 0 is the chunk itself."""
+    return F.when(part == 0, chunk).otherwise(F.xxhash64(chunk, part))
 
 
 class History:
-    """The accepted records, in tables under ``path``: chunk to record, and record to fingerprint.
+    """The accepted records, in tables under ``path`` that outlive the session.
 
     ``start`` accepts a whole table; ``check`` decides a batch and appends what it accepts.
     Null texts and texts of fewer than ``shingle`` words are accepted and resemble nothing.
-    Only texts of equal ``scope`` are compared. Empty batches give an empty result.
+    Only texts of equal ``scope`` (an integer) are compared. Ids are unique; repeated texts, ties and
+    other columns make no difference. Empty batches give an empty result. ``buckets`` is fixed when
+    the store is made (a thousand or more for a large history) and read back afterwards.
     """
 
-    RECORDS = "id long, grams int, bits array<long>, anchors array<long>, segments array<int>"
-    CHUNKS = "chunk long, id long, size int, total int"
+    TABLES = {
+        "chunks": ("key", "key long, id long, size int, windows int, step int"),
+        "holders": ("chunk", "chunk long, n long"),
+        "records": ("id", "id long, windows int, total int"),
+    }
 
-    def __init__(self, spark: SparkSession, path: str, shingle: int = 5, threshold: float = 0.8) -> None:
+    def __init__(self, spark: SparkSession, path: str, shingle: int = 5, threshold: float = 0.8, buckets: int | None = None) -> None:
         self.spark, self.path, self.shingle, self.threshold = spark, path, shingle, threshold
+        settings = f"{path}/settings"
+        try:
+            self.buckets, made = spark.read.schema("buckets int").json(settings).first()[0], True
+        except AnalysisException:
+            made = False
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1, numPartitions=1).select(F.lit(self.buckets).alias("buckets")).write.json(settings)
+        self.prefix = f"history_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+        for name, (by, columns) in self.TABLES.items():
+            spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
+            spark.sql(
+                f"CREATE TABLE {self.prefix}_{name} ({columns}, batch int) USING parquet PARTITIONED BY (batch)"
+                f" CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}/{name}'"
+            )
+            if made:
+                spark.sql(f"MSCK REPAIR TABLE {self.prefix}_{name}")
 
     def nothing(self) -> DataFrame:
         """Return the result of a check that rejects nothing."""
         return self.spark.createDataFrame([], "id_a long, id_b long")
 
-    def _append(self, classes: DataFrame) -> None:
-        classes.select("id", "grams", "bits", "anchors", "segments").write.mode("append").parquet(f"{self.path}/records")
-        chunk_rows(classes).write.mode("append").parquet(f"{self.path}/chunks")
+    def stored(self, name: str, before: int) -> DataFrame:
+        """Return a table of the store as it was before a batch."""
+        return self.spark.table(f"{self.prefix}_{name}").filter(F.col("batch") < before)
+
+    def _store(self, name: str, rows: DataFrame, batch: int) -> None:
+        """Write the part of a table that a batch adds, one file for each bucket."""
+        by, columns = self.TABLES[name]
+        names = [part.split()[0] for part in columns.split(", ")]
+        rows.select(*names).repartition(self.buckets, by).createOrReplaceTempView("history_rows")
+        self.spark.sql(
+            f"INSERT OVERWRITE TABLE {self.prefix}_{name} PARTITION (batch = {int(batch)}) SELECT {', '.join(names)} FROM history_rows"
+        )
+
+    def _append(self, rows: DataFrame, classes: DataFrame, batch: int) -> None:
+        """Add records to the store; ``rows`` has their chunks with ``before``, the holders so far."""
+        part = F.pmod(F.xxhash64("id"), keys(F.col("before"))).cast("int")
+        self._store("chunks", rows.withColumn("key", key(F.col("chunk"), part)), batch)
+        self._store("holders", rows.groupBy("chunk").agg(F.count("*").alias("n")), batch)
+        self._store("records", classes, batch)
 
     def _classes(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Return the first record of each class, and (``id``, ``class_id``) of all records."""
-        made = written(chunked(texts, self.shingle), "p5-chunked")
+        made = written(chunked(texts, self.shingle, self.threshold), "p5-chunked")
         first = made.groupBy("same_a", "same_b").agg(F.min("id").alias("class_id"))
         members = written(
             made.select("id", "same_a", "same_b").join(first, ["same_a", "same_b"]).select("id", "class_id"),
@@ -194,90 +234,109 @@ class History:
         )
         return made.join(members.filter("id = class_id").select("id"), "id", "left_semi"), members
 
-    def start(self, texts: DataFrame) -> None:
-        """Accept all of ``texts`` (``id``, ``text``, ``scope``) as the history."""
-        self._append(self._classes(texts)[0])
+    def start(self, texts: DataFrame, batch: int = 0) -> None:
+        """Accept all of ``texts`` (``id``, ``text``, ``scope``) as the history, its batch ``batch``."""
+        classes = self._classes(texts)[0]
+        rows = chunk_rows(classes)
+        many = rows.groupBy("chunk").agg(F.count("*").alias("before")).filter(F.col("before") >= SPLIT)
+        counted = rows.join(many, "chunk", "left").withColumn("before", F.coalesce("before", F.lit(0)))
+        self._append(counted, classes, batch)
 
-    def check(self, texts: DataFrame, corpus: DataFrame) -> DataFrame:
+    def check(self, texts: DataFrame, corpus: DataFrame, batch: int) -> DataFrame:
         """Decide the records of a batch; return (``id_a``, ``id_b``) for each one rejected.
 
         ``id_b`` is the rejected record and ``id_a`` the least id of the accepted records
         before it that reach the threshold. ``corpus`` (``id``, ``text``) has the texts of
-        this batch and of the history; only those of candidates are used.
+        this batch and of the history; only those of candidates leave its scan. Batches are
+        checked in order of their number.
         """
-        records = self.spark.read.schema(self.RECORDS).parquet(f"{self.path}/records")
-        held = self.spark.read.schema(self.CHUNKS).parquet(f"{self.path}/chunks")
         classes, members = self._classes(texts)
-        pairs = written(self._candidates(held, records, classes), "p5-pairs")
+        rows = written(self._counted(classes, batch), "p5-rows")
+        pairs = written(self._candidates(rows, batch), "p5-pairs")
         links = written(verified(pairs, corpus, self.shingle, self.threshold), "p5-links")
-        decided = self._decide(links, members.filter("id = class_id").select("id"))
-        self._append(classes.join(decided.filter("least is null").select("id"), "id", "left_semi"))
+        decided = written(self._decide(links, members.filter("id = class_id").select("id")), "p5-decided")
+        accepted = decided.filter("least is null").select("id")
+        self._append(rows.join(accepted, "id", "left_semi"), classes.join(accepted, "id", "left_semi"), batch)
         return (
             members.join(decided.withColumnRenamed("id", "class_id"), "class_id")
             .select(F.coalesce("least", "class_id").alias("id_a"), F.col("id").alias("id_b"))
             .filter("id_a < id_b")
         )
 
-    def _candidates(self, held: DataFrame, records: DataFrame, classes: DataFrame) -> DataFrame:
-        """Return pairs (``a`` < ``b``), ``b`` of the batch, that chunks or keys suggest and bitmaps allow."""
-        rows = held.withColumn("new", F.lit(False)).unionByName(chunk_rows(classes).withColumn("new", F.lit(True)))
-        counted = rows.withColumn("holders", F.count("*").over(Window.partitionBy("chunk")))
-        some = counted.filter(f"holders between 2 and {HOT}")
-        left = some.filter("new").select("chunk", F.col("id").alias("b"), "size", F.col("total").alias("total_b"))
-        right = some.select("chunk", F.col("id").alias("a"), F.col("total").alias("total_a"))
-        by_chunks = (
-            left.join(right.hint("merge"), "chunk")
-            .filter("a < b")
-            .groupBy("a", "b")
-            .agg(F.sum("size").alias("shared"), F.min(F.least("total_a", "total_b")).alias("total"))
-            .filter(f"shared >= {COVERAGE} * total")
+    def _counted(self, classes: DataFrame, batch: int) -> DataFrame:
+        """Return the chunks of a batch with ``before``, their holders in the store, and ``holders``, those with the batch."""
+        rows = chunk_rows(classes)
+        new = rows.groupBy("chunk").agg(F.count("*").alias("new"))
+        old = self.stored("holders", batch).groupBy("chunk").agg(F.sum("n").alias("before"))
+        known = new.join(old, "chunk", "left").select(
+            "chunk", F.coalesce("before", F.lit(0)).alias("before"), (F.col("new") + F.coalesce("before", F.lit(0))).alias("holders")
+        )
+        return rows.join(known.filter("holders > 1"), "chunk", "left").withColumns(
+            {"before": F.coalesce("before", F.lit(0)), "holders": F.coalesce("holders", F.lit(1))}
+        )
+
+    def _candidates(self, rows: DataFrame, batch: int) -> DataFrame:
+        """Return the pairs (``a`` < ``b``), ``b`` of the batch, whose common chunks cover enough of ``b``."""
+        by_heat = Window.partitionBy("id").orderBy(F.desc("holders"), "chunk")
+        hot = (
+            rows.filter(F.col("holders") > HOT)
+            .withColumn("rank", F.row_number().over(by_heat))
+            .withColumn("coarse_rank", F.count(F.when(F.col("coarse"), 1)).over(by_heat))
+            .withColumn("left_out", F.expr("rank < least and (not coarse or coarse_rank < coarse_least)"))
+        )
+        asked = rows.filter((F.col("holders") > 1) & (F.col("holders") <= HOT)).unionByName(
+            hot.filter(~F.col("left_out")).select(rows.columns)
+        ).select(
+            "chunk", F.col("id").alias("b"), "size", F.col("windows").alias("windows_b"), F.col("step").alias("step_b"),
+            "before", "total", "least", "coarse_least",
+        )
+        out = hot.filter("left_out").groupBy(F.col("id").alias("b")).agg(
+            F.count("*").alias("out"), F.count(F.when(F.col("coarse"), 1)).alias("coarse_out"), F.sum("size").alias("bytes_out")
+        )
+        alike = f"least(windows_a, windows_b) >= {self.threshold - 1e-9} * greatest(windows_a, windows_b)"
+
+        def held(df: DataFrame, *by: str) -> DataFrame:
+            return df.select(*by, F.col("id").alias("a"), F.col("windows").alias("windows_a"), F.col("step").alias("step_a"))
+
+        coarser = (F.col("step_a") > F.col("step_b")).alias("coarser")
+        least = F.when(coarser, F.col("coarse_least")).otherwise(F.col("least")).alias("least")
+        found = ["a", "b", "size", coarser, least, "total"]
+        parts = F.explode(F.sequence(F.lit(0), keys(F.col("before")) - 1)).alias("part")
+        probes = asked.filter("before > 0").select("*", parts).withColumn("key", key(F.col("chunk"), F.col("part")))
+        old = held(self.stored("chunks", batch), "key").join(probes.hint("shuffle_hash"), "key").filter(alike).select(*found)
+        new = asked.join(held(rows.filter("holders > before + 1"), "chunk").hint("merge"), "chunk").filter("a < b").filter(alike).select(*found)
+        totals = old.unionByName(new).groupBy("a", "b", "coarser", "least", "total").agg(
+            F.count("*").alias("shared"), F.sum("size").alias("bytes")
+        )
+        return (
+            totals.join(out, "b", "left")
+            .filter(
+                "shared + coalesce(if(coarser, coarse_out, out), 0) >= least"
+                f" and bytes + coalesce(bytes_out, 0) >= {COVERAGE} * total"
+            )
             .select("a", "b")
         )
-        prints = records.unionByName(classes.select(records.columns))
-        new = keyed(classes).select("key", F.col("id").alias("b"))
-        others = keyed(prints).select("key", F.col("id").alias("a"))
-        by_keys = new.join(others, "key").filter("a < b").select("a", "b")
-        return possible(by_chunks.union(by_keys).distinct(), prints, self.threshold)
 
     def _decide(self, links: DataFrame, batch: DataFrame) -> DataFrame:
         """Return (``id``, ``least``) for the classes of the batch; ``least`` is null if accepted.
 
         A record is rejected once one linked record before it is accepted, and accepted once
-        all of them are rejected. Each round settles every record whose predecessors are
+        all of them are rejected. Records without a link before them are accepted from the start,
+        which settles most others at once. Each round settles every record whose predecessors are
         settled; the table of states is written after each round.
         """
-        first = F.col("b").alias("id")
-        states = written(
-            links.select(first)
-            .distinct()
-            .withColumn("state", F.lit("open"))
-            .unionByName(
-                links.join(batch.select(F.col("id").alias("a")), "a", "left_anti")
-                .select(F.col("a").alias("id"))
-                .distinct()
-                .withColumn("state", F.lit("in"))
-            ),
-            "p5-states",
-        )
+        state = F.col("state")
+        settled = F.when(F.max(F.coalesce(state, F.lit("in")) == "in"), "out").when(F.min(F.coalesce(state, F.lit("in")) == "out"), "in").otherwise("open")
+        waiting = links.select(F.col("b").alias("a"), F.lit("open").alias("state")).distinct()
+        states = written(links.join(waiting, "a", "left").groupBy(F.col("b").alias("id")).agg(settled.alias("state")), "p5-states")
         while not states.filter("state = 'open'").isEmpty():
             known = links.join(states.withColumnRenamed("id", "a"), "a", "left")
-            seen = known.groupBy(first).agg(
-                F.max(F.coalesce("state", F.lit("in")) == "in").alias("any_in"),
-                F.min(F.coalesce("state", F.lit("in")) == "out").alias("all_out"),
-            )
+            seen = known.groupBy(F.col("b").alias("id")).agg(settled.alias("next"))
             states = written(
-                states.join(seen, "id", "left").select(
-                    "id",
-                    F.when(F.col("state") != "open", F.col("state"))
-                    .when(F.col("any_in"), "out")
-                    .when(F.col("all_out"), "in")
-                    .otherwise("open")
-                    .alias("state"),
-                ),
-                "p5-states",
+                states.join(seen, "id").select("id", F.when(state == "open", F.col("next")).otherwise(state).alias("state")), "p5-states"
             )
         accepted = links.join(states.withColumnRenamed("id", "a"), "a", "left").filter(
             F.coalesce("state", F.lit("in")) == "in"
         )
-        least = accepted.groupBy(first).agg(F.min("a").alias("least"))
+        least = accepted.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("least"))
         return batch.join(least, "id", "left")

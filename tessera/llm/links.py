@@ -6,24 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import WordHashes, shingles, similarity
 from tessera.plans.shared import written
 
 
-#: Bits of the table of wanted ids: at most 262,144 rows of 16 bytes, whatever the data.
-BITMAP = 1 << 24
+#: Most bits of the table of wanted ids, 64 to a row of 16 bytes: at most 33 MB.
+MOST_BITS = 1 << 27
 
 
 def _only(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Leave out texts that no pair asks for, before they are shuffled.
 
-    The ids asked for are hashed into a bitmap of fixed size, which is broadcast. A text that
-    shares a bit with one that is asked for comes along and finds no partner in the join.
+    The ids asked for are hashed into a bitmap, which is broadcast: 32 bits for each pair, and
+    ``MOST_BITS`` at most. A text that shares a bit with one that is asked for comes along and
+    finds no partner in the join, so the bound costs time beyond some ten million pairs, and no row.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    bits = min(MOST_BITS, max(1 << 16, 1 << (32 * pairs.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
     word, place = F.shiftright(bit, 6), F.pmod(bit, F.lit(64)).cast("int")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     bitmap = asked.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
@@ -35,15 +37,16 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     """Keep the pairs (``a``, ``b``) whose texts reach ``threshold``.
 
     ``texts`` has ``id`` and ``text``; similarity is that of the sets of runs of ``shingle``
-    words. Both texts of a pair meet by two equi-joins; rows arrive sorted by ``a``, so the
-    set of ``a`` is made once for all its partners and nothing but one set is held.
+    words. Both texts of a pair meet by two sorted joins, which spill; rows arrive sorted by
+    ``a``, so the set of ``a`` is made once for all its partners and nothing but one set is held.
+    ``pairs`` is read twice, so it should be a written table.
     """
     texts = _only(texts.select("id", "text"), pairs)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = (
         pairs.select("a", "b")
-        .join(right.hint("shuffle_hash"), "b")
+        .join(right.hint("merge"), "b")
         .join(left.hint("merge"), "a")
         .select("a", "b", "text_a", "text_b")
     )
@@ -68,9 +71,9 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """Return (``id``, ``root``) for every id of ``links`` (``a``, ``b``); root is the least id.
 
-    Alternating large-star and small-star steps: each is one shuffle by node and a windowed
-    minimum, so a node of any degree is streamed and never gathered. The edge table is
-    written after every round, which bounds the lineage.
+    Alternating large-star and small-star steps: each takes the least neighbour of every node by
+    partial aggregation and joins it back, so a node of any degree is folded in its tasks and its
+    edges are never gathered. The edge table is written after every round, which bounds the lineage.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -78,7 +81,8 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = near.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
+        lowest = near.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        least = near.join(lowest, "a")
         if large:
             out = least.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:

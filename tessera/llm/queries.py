@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.boilerplate import main_text, site_lines
@@ -134,36 +134,34 @@ def p4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 P5_TABLES = [("bbc_crawler", "article_id"), ("github_crawler", "file_id")]
 
 
-def _p5(spark: SparkSession, sf_dir: str) -> tuple[History, DataFrame]:
-    both = _two_tables(spark, sf_dir, P5_TABLES, "content", "batch_no")
-    texts = both.select(
-        F.col("uid").alias("id"), F.col("content").alias("text"), F.pmod("uid", F.lit(2)).alias("scope"), "batch_no"
-    )
-    history = History(spark, new_path(spark, "p5-history"), shingle=3, threshold=0.7)
-    history.start(texts.filter("batch_no = 0"))
-    return history, texts
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the later batches that repeat an accepted one, batch by batch as they arrive.
 
+    Each check reads the batch and the store that the one before has left.
+    """
 
-def _p5_named(found: DataFrame) -> DataFrame:
-    return found.select(
+    def texts(batch: Column, few: bool) -> DataFrame:
+        parts = []
+        for n, (table, key) in enumerate(P5_TABLES):
+            rows = _read(spark, sf_dir, table).filter(batch).select(
+                (F.col(key) * 2 + n).alias("id"), F.col("content").alias("text"), F.lit(n).alias("scope")
+            )
+            parts.append(spread(rows) if few else rows)
+        return parts[0].unionByName(parts[1])
+
+    number = F.col("batch_no")
+    history = History(spark, new_path(spark, "p5-history"), shingle=3, threshold=0.7)
+    history.start(texts(number == 0, True))
+    later = [_read(spark, sf_dir, table).filter(number > 0).select(number).distinct() for table, _ in P5_TABLES]
+    found = [
+        history.check(texts(number == n, True), texts(number <= n, False), n)
+        for (n,) in later[0].union(later[1]).distinct().orderBy("batch_no").toLocalIterator()
+    ]
+    return reduce(DataFrame.unionByName, found, history.nothing()).select(
         _named(P5_TABLES, "id_a").alias("crawler"), _id("id_a").alias("id_a"), _id("id_b").alias("id_b")
     )
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the later batches that repeat an accepted one; what has arrived is checked at once, in order."""
-    history, texts = _p5(spark, sf_dir)
-    return _p5_named(history.check(texts.filter("batch_no > 0"), texts))
-
-
-def p5_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, batch by batch as they arrive; each sees the chunk table that the one before has left."""
-    history, texts = _p5(spark, sf_dir)
-    numbers = [r[0] for r in texts.filter("batch_no > 0").select("batch_no").distinct().orderBy("batch_no").collect()]
-    found = [history.check(texts.filter(F.col("batch_no") == n), texts) for n in numbers]
-    return _p5_named(reduce(DataFrame.unionByName, found, history.nothing()))
-
-
 def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "window_sizes").select("window_id", "capacity").limit(MOST_CAPACITIES + 1).collect()
     sizes = written(token_counts(_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"), "p6-sizes")
@@ -229,7 +227,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return the queries by name."""
     found = [
-        p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_reasons, p4_found, p4_main_text, p5_found, p5_by_batch,
+        p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_reasons, p4_found, p4_main_text, p5_found,
         p6_packed, p6_fill, p7_found, p7_cleaned, p8_found, p8_documents,
     ]
     return {query.__name__: query for query in found}

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import history
-from tessera.llm.history import History, chunk
-from tessera.llm.words import WordHashes
+from tessera.llm.history import History, chunk, least_shared, step_of
+from tessera.llm.words import WordHashes, shingles
 from tessera.plans.shared import new_path
 from tests.llm import brute
 
@@ -25,12 +25,19 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "id long, turn int, text string").withColumn("scope", F.lit(0))
 
 
-def run(spark, rows, by_turn, n=3, threshold=0.7):
+def run(spark, rows, by_turn, n=3, threshold=0.7, twice=False):
     df = frame(spark, rows)
-    store = History(spark, new_path(spark, "test-history"), n, threshold)
+    path = new_path(spark, "test-history")
+    store = History(spark, path, n, threshold)
     store.start(df.filter("turn = 0"))
-    turns = [F.col("turn") == t for t in (1, 2, 3)] if by_turn else [F.col("turn") > 0]
-    return {r["id_b"]: r["id_a"] for t in turns for r in store.check(df.filter(t), df).collect()}
+    turns = [(t, F.col("turn") == t) for t in (1, 2, 3)] if by_turn else [(1, F.col("turn") > 0)]
+    out = {}
+    for t, chosen in turns:
+        if twice:
+            store.check(df.filter(chosen), df, t)
+            store = History(spark, path, n, threshold)
+        out |= {r["id_b"]: r["id_a"] for r in store.check(df.filter(chosen), df, t).collect()}
+    return out
 
 
 @pytest.mark.parametrize("by_turn", [False, True])
@@ -39,40 +46,49 @@ def test_like_brute_force(spark, by_turn):
     assert run(spark, rows, by_turn) == brute.rejected(rows, 3, 0.7)
 
 
-def test_common_chunks(spark, monkeypatch):
-    monkeypatch.setattr(history, "HOT", 1)
-    rows = make(5, bases=4)
-    assert run(spark, rows, False) == brute.rejected(rows, 3, 0.7)
+def test_batch_tried_again_in_a_store_opened_again(spark):
+    rows = make(12, bases=5)
+    assert run(spark, rows, True, twice=True) == brute.rejected(rows, 3, 0.7)
 
 
-def one_chunk(r, vocab, n):
-    """Random words without a chunk boundary among them."""
-    hashes = WordHashes()
-    while True:
-        words = r.choices(vocab, k=n)
-        if len(chunk(np.array([hashes[x] for x in words], np.uint64), np.ones(n, np.int32))[0]) == 1:
-            return words
+def test_common_chunks_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(history, "HOT", 1)
+    monkeypatch.setattr(history, "SPLIT", 3)
+    rows = make(5, bases=4)
+    assert run(spark, rows, True) == brute.rejected(rows, 3, 0.7)
 
 
 def edited(words, at):
     return [*words[:at], "edited", *words[at + 1 :]]
 
 
-def test_edits_outside_a_common_chunk(spark, monkeypatch):
+def test_edits_outside_a_common_header(spark, monkeypatch):
     monkeypatch.setattr(history, "HOT", 4)
     r = random.Random(3)
     header = "this work may be used by anyone who keeps this notice".split()
-    bodies = [one_chunk(r, [f"body{i}" for i in range(2000)], 30) for _ in range(20)]
+    bodies = [r.choices([f"body{i}" for i in range(2000)], k=30) for _ in range(20)]
     texts = [header + body for body in bodies] + [header + edited(body, 15) for body in bodies]
     rows = [(i, int(i >= 20), " ".join(text)) for i, text in enumerate(texts)]
     assert run(spark, rows, False) == brute.rejected(rows, 3, 0.7) == {20 + i: i for i in range(20)}
 
 
-def test_short_texts(spark):
-    r = random.Random(4)
-    texts = [one_chunk(r, [f"word{i}" for i in range(2000)], 20) for _ in range(20)]
-    rows = [(i, int(i >= 20), " ".join(x)) for i, x in enumerate([*texts, *(edited(x, 10) for x in texts)])]
-    assert run(spark, rows, False) == brute.rejected(rows, 3, 0.7) == {20 + i: i for i in range(20)}
+def test_short_texts_lose_no_link(spark):
+    r = random.Random(7)
+    texts = [r.choices([f"word{i}" for i in range(5000)], k=n) for n in (4, 6, 8, 12, 16, 24, 40) for _ in range(30)]
+    rows = [(i, int(i >= 210), " ".join(x)) for i, x in enumerate([*texts, *([*x, "end"] for x in texts)])]
+    want = brute.rejected(rows, 3, 0.7)
+    assert run(spark, rows, False) == want
+    assert len(want) >= 150
+
+
+def test_most_of_the_text_is_common(spark, monkeypatch):
+    monkeypatch.setattr(history, "HOT", 4)
+    r = random.Random(9)
+    header = [f"notice{i}" for i in range(60)]
+    own = [r.choices([f"own{i}" for i in range(2000)], k=20) for _ in range(12)]
+    texts = [header + x for x in own] + [header + edited(x, 10) for x in own]
+    rows = [(i, int(i >= 12), " ".join(text)) for i, text in enumerate(texts)]
+    assert run(spark, rows, False) == brute.rejected(rows, 3, 0.7)
 
 
 def test_chain_is_decided_in_order(spark):
@@ -89,12 +105,37 @@ def test_empty(spark):
     assert run(spark, [(1, 1, "a b c d"), (2, 1, "a b c d")], False) == {2: 1}
 
 
+def chunks_of(words, hashes):
+    grams = shingles(np.array([hashes[x] for x in words], np.uint64), 3)
+    return chunk(grams, np.cumsum([len(x) for x in words]), step_of(len(np.unique(grams))))
+
+
 def test_edits_change_few_chunks():
-    words = [f"w{i}" for i in range(2000)]
+    words = [f"w{i}" for i in range(1200)]
+    hashes = WordHashes()
+    before, sizes, _ = chunks_of(words, hashes)
+    after, _, _ = chunks_of([*words[:700], "new", "words", *words[700:]], hashes)
+    assert 0.8 * sum(map(len, words)) < sizes.sum() <= sum(map(len, words))
+    assert 20 <= len(before) <= 80
+    assert len(np.setdiff1d(after, before)) <= 4
+
+
+@pytest.mark.parametrize("length", [70, 130, 400, 1500])
+def test_recall_of_the_candidate_step(length):
+    """Random pairs just above the threshold: no chunk count below what is asked for."""
+    r = random.Random(length)
     hashes = WordHashes()
-    of = lambda w: chunk(np.array([hashes[x] for x in w], np.uint64), np.array([len(x) for x in w], np.int32))
-    before, sizes = of(words)
-    after, _ = of([*words[:700], "new", "words", *words[700:]])
-    assert sizes.sum() == sum(map(len, words))
-    assert 150 < len(before) < 350
-    assert len(np.setdiff1d(after, before)) <= 3
+    for _ in range(25):
+        words = r.choices([f"w{i}" for i in range(3000)], k=length)
+        other = list(words)
+        while True:
+            more = edited(other, r.randrange(length))
+            if brute.similarity(" ".join(words), " ".join(more), 3) < 0.7:
+                break
+            other = more
+        (a, _, ca), (b, _, cb) = chunks_of(words, hashes), chunks_of(other, hashes)
+        na, nb = (len(brute.grams(" ".join(x), 3)) for x in (words, other))
+        if step_of(na) > step_of(nb):
+            b = b[cb]
+        shared = len(np.intersect1d(a, b))
+        assert shared >= (np.ceil(0.7 * len(b) - 1e-9) if step_of(na) == step_of(nb) == 1 else least_shared(len(b), 0.7))
