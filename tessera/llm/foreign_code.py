@@ -1,11 +1,20 @@
 """Problem 3: files that were generated, minified, taken from a third party, or are data blobs.
 
-Each file is judged by itself first: by what its comments say (a tool's header, a bundled copy's
-origin), by its layout (line lengths, share of literals, repeated line shapes) and by its place.
-Then Merkle hashes are computed bottom-up over the directory trees of the repositories: a leaf is
-the hash of a file's content, a directory the hash of the names and hashes below it. A subtree
-that unrelated repositories share, and that lies in a place for third-party code in one of them or
-says so itself, is third-party code wherever it lies. Sharing alone marks nothing.
+Third-party code is found by Merkle hashes over the directory trees of the repositories. A leaf is
+the hash of a file's content; a directory is the sum of the hashes of its children, each times an odd
+number that stands for its name. The recursion is linear, so it unrolls: a file adds its leaf times
+the product of the names between, to each directory above it, and all hashes of all trees come
+from one aggregation with partial sums, however deep the trees are.
+
+A subtree (a file or a directory of at least ``LEAST`` characters) that unrelated repositories share is
+judged by what its occurrences say: a place for third-party code, or a comment that names the
+origin, is evidence for the tree. An occurrence with such evidence is third-party code. One without it
+is so only if at least ``OWNERS`` other owners keep the same tree as third-party code and it is not
+the first that was crawled, which is taken for the original. Sharing alone marks nothing: files
+copied between repositories stay. A tree in such a place that no other repository has is third-party
+code by its place.
+
+Generated, minified and data files are found by header and layout rules, file by file.
 """
 
 from __future__ import annotations
@@ -53,6 +62,8 @@ _ORIGIN = re.compile(
 )
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b0x[0-9a-fA-F]+\b|[-+]?\b\d[\d.eE_]*\b")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
+#: Numbers with what separates them, and encoded bytes.
+_BLOB = re.compile(r"(?:[-+]?\d[\d.eE+-]*[,;\s]*){8,}|[A-Za-z0-9+/=]{60,}")
 
 
 def shape(line: str) -> str:
@@ -64,9 +75,7 @@ def reasons(path: str | None, content: str) -> list[str]:
     """Return why a file is not hand-written, judged by itself: some of tool, origin, minified,
     data, repeated, place. Empty and blank contents have no reasons but their place."""
     found = []
-    segments = {s.lower() for s in (path or "").split("/")[:-1]}
-    segments |= {s.split("-")[0] for s in segments if re.fullmatch(r"[a-z]+-\d[\d.]*", s)}
-    if segments & PLACES:
+    if any(places((path or "").split("/")[:-1])):
         found.append("place")
     lines = [x for x in re.split(r"\r\n|\n|\r", content) if x.strip()]
     if not lines:
@@ -76,9 +85,14 @@ def reasons(path: str | None, content: str) -> list[str]:
             found.append("tool")
         if "origin" not in found and _ORIGIN.match(m[1]):
             found.append("origin")
+    size = sum(map(len, lines))
     if path and CONFIG.search(path):
+        # People write long values into configuration; no one lays all of it out in lines of a thousand.
+        if size >= 2000 and sum(len(x) for x in lines if len(x) >= 1000) > 0.6 * size:
+            found.append("minified")
+        elif size >= 2000 and sum(map(len, _BLOB.findall(content))) > 0.7 * size:
+            found.append("data")
         return found
-    size = sum(map(len, lines))
     if sum(len(x) for x in lines if len(x) >= 250) > 0.6 * size:
         found.append("minified")
         return found
@@ -94,30 +108,77 @@ def reasons(path: str | None, content: str) -> list[str]:
     return found
 
 
-SIGNS = "file_id long, repo string, path string, leaf long, reasons array<string>"
-#: A directory of at least ``FILES`` files that ``OWNERS`` owners share is third-party code.
-FILES, OWNERS = 2, 3
+#: Least size of a subtree, in characters without white space, that says anything by being shared.
+LEAST = 200
+#: Other owners that must keep a tree as third-party code to mark it where nothing says so.
+OWNERS = 2
+SIGNS = (
+    "file_id long, repo string, owner string, path string, leaf long, size long, reasons array<string>,"
+    " nodes array<struct<node:long,hash:long,placed:boolean>>"
+)
+_NODES = pa.list_(pa.struct([("node", pa.int64()), ("hash", pa.int64()), ("placed", pa.bool_())]))
+_MASK = (1 << 64) - 1
+
+
+def _signed(x: int) -> int:
+    return (x & _MASK) - (1 << 64) if x >> 63 & 1 else x & _MASK
+
+
+def places(segments: list[str]) -> list[bool]:
+    """Tell of each directory of a path, given by its names, whether it is a place for third-party code or below one."""
+    out, below = [], False
+    for name in segments:
+        low = name.lower()
+        below = below or low in PLACES or (re.fullmatch(r"[a-z]+-\d[\d.]*", low) is not None and low.split("-")[0] in PLACES)
+        out.append(below)
+    return out
+
+
+def nodes(repo: str, path: str, leaf: int) -> list[tuple[int, int, bool]]:
+    """Return the file's own node and every directory above it, root left out: (node, what it adds to its hash, placed)."""
+    *above, name = path.split("/")
+    placed = places(above)
+    out = [(xxhash.xxh3_64_intdigest(f"{repo}\n{path}"), leaf, bool(placed and placed[-1]))]
+    hash_, at = leaf, name
+    for depth in range(len(above), 0, -1):
+        hash_ = hash_ * (xxhash.xxh3_64_intdigest(at) | 1) & _MASK
+        at = above[depth - 1]
+        where = "/".join(above[:depth])
+        out.append((xxhash.xxh3_64_intdigest(f"{repo}\n{where}"), hash_, placed[depth - 1]))
+    return [(_signed(node), _signed(h), p) for node, h, p in out]
 
 
 def signs(files: DataFrame) -> DataFrame:
-    """Return the reasons of each file by itself and the hash of its content without white space."""
+    """Return the reasons of each file by itself, its leaf hash (of its content without white space) and its nodes."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves, found = [], []
-            for path, content in zip(batch.column(2).to_pylist(), batch.column(3)):
+            leaves, sizes, found, trees = [], [], [], []
+            for repo, path, content in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 text = content.as_py()
+                bare = "".join(text.split())
+                leaf = xxhash.xxh3_64_intdigest(bare)
                 found.append(reasons(path, text))
-                leaves.append(xxhash.xxh3_64_intdigest("".join(text.split())) - (1 << 63))
+                leaves.append(_signed(leaf))
+                sizes.append(len(bare))
+                known = repo is not None and path is not None
+                trees.append([dict(zip(("node", "hash", "placed"), x)) for x in nodes(repo, path, leaf)] if known else [])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(leaves, pa.int64()), pa.array(found, pa.list_(pa.string()))],
-                ["file_id", "repo", "path", "leaf", "reasons"],
+                [
+                    *batch.columns[:4],
+                    pa.array(leaves, pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(found, pa.list_(pa.string())),
+                    pa.array(trees, _NODES),
+                ],
+                ["file_id", "repo", "owner", "path", "leaf", "size", "reasons", "nodes"],
             )
 
     return (
         files.select(
             F.col("file_id").cast("long").alias("file_id"),
             F.col("html_url").alias("repo"),
+            owner(F.col("html_url")).alias("owner"),
             F.col("target_file").alias("path"),
             "content",
         )
@@ -128,69 +189,59 @@ def signs(files: DataFrame) -> DataFrame:
 
 def owner(repo: Column) -> Column:
     """Return the owner part of a repository's address; repositories of one owner are related."""
-    return F.element_at(F.split(repo, "/"), -2)
+    return F.coalesce(F.try_element_at(F.split(repo, "/"), F.lit(-2)), repo)
 
 
-def merkle(leaves: DataFrame) -> DataFrame:
-    """Return the nodes (``repo``, ``path``, ``hash``, ``files``, ``foreign``) of all directory trees.
+def merkle(judged: DataFrame) -> DataFrame:
+    """Return the nodes of all trees: ``node``, ``owner``, ``hash``, ``size``, ``first`` (least file id) and ``known``.
 
-    ``leaves`` has ``repo``, ``path``, ``hash`` and ``foreign``. A directory's hash sums the hashes
-    of its (name, hash) entries, so a directory of any size is folded by partial aggregation.
-    One step per level, from the deepest; every level is written, so lineage stays short.
+    ``known`` tells that the node lies in a place for third-party code, or that all its files name
+    their origin. Of a file that was crawled several times the latest makes the tree.
     """
-    depth = F.size(F.split("path", "/"))
-    level = leaves.select("repo", "path", "hash", F.lit(1).cast("long").alias("files"), "foreign", depth.alias("depth"))
-    level = written(level.distinct(), "p3-leaves")
-    deepest = level.agg(F.max("depth")).first()[0] or 0
-    nodes, below = level, None
-    for d in range(deepest, 1, -1):
-        here = level.filter(F.col("depth") == d)
-        here = here if below is None else here.unionByName(below)
-        parent = F.expr(f"concat_ws('/', slice(split(path, '/'), 1, {d - 1}))")
-        name = F.element_at(F.split("path", "/"), -1)
-        entry = F.shiftright(F.xxhash64(name, "hash"), 16)
-        below = written(
-            here.groupBy("repo", parent.alias("path")).agg(
-                F.sum(entry).alias("hash"),
-                F.sum("files").alias("files"),
-                F.min("foreign").alias("foreign"),
-                F.lit(d - 1).alias("depth"),
-            ),
-            "p3-level",
-        )
-        nodes = nodes.unionByName(below)
-    return nodes
+    latest = judged.filter("size(nodes) > 0").select(
+        "file_id", "owner", "size", F.array_contains("reasons", "origin").alias("origin"), "nodes", F.col("nodes")[0]["node"].alias("file")
+    )
+    newest = latest.groupBy("file").agg(F.max("file_id").alias("file_id"), F.min("file_id").alias("first")).drop("file")
+    entries = latest.join(newest, "file_id").select("first", "owner", "size", "origin", F.explode("nodes").alias("n"))
+    return entries.groupBy(F.col("n.node").alias("node")).agg(
+        F.min("owner").alias("owner"),
+        F.sum(F.col("n.hash").cast("decimal(20,0)")).alias("hash"),
+        F.sum("size").alias("size"),
+        F.min("first").alias("first"),
+        (F.max("n.placed") | F.min("origin")).alias("known"),
+    )
+
+
+def vendored(trees: DataFrame) -> DataFrame:
+    """Return the ``node`` of each third-party subtree that unrelated repositories share."""
+    large = trees.filter(F.col("size") >= LEAST)
+    by_owner = large.groupBy("hash", "owner").agg(
+        F.max("known").alias("known"), F.min(F.when(~F.col("known"), F.col("first"))).alias("first")
+    )
+    shared = by_owner.groupBy("hash").agg(
+        F.count("*").alias("owners"),
+        F.sum(F.col("known").cast("int")).alias("keepers"),
+        F.min("first").alias("original"),
+    ).filter("owners >= 2 and keepers >= 1")
+    own = F.when(F.col("known"), F.lit(0)).otherwise(F.lit(OWNERS))
+    return large.join(shared, "hash").filter((F.col("keepers") >= own) & (F.col("known") | (F.col("first") > F.col("original")))).select("node")
 
 
 def foreign_files(files: DataFrame) -> DataFrame:
     """Return (``file_id``, ``reasons``) of the files that are not hand-written in their repository.
 
-    ``reasons`` has ``tool``, ``repeated`` (generated), ``minified``, ``data``, ``place``,
-    ``origin`` (third-party) and ``shared`` (equal to third-party code elsewhere). Files of null
-    content give no row; a file of null path or repository is judged by its content and compared
-    by its hash. Repeated rows and crawls of a file are judged each; other columns are ignored.
+    ``reasons`` has ``tool``, ``repeated`` (generated), ``minified``, ``data``, ``shared`` (in a
+    third-party subtree that unrelated repositories share), ``place`` and ``origin`` (third-party by
+    its place or its comments; kept beside ``shared`` as its evidence). Files of null content
+    give no row; a file of null path or repository belongs to no tree and is judged by its content.
+    Empty and small files are marked by no tree of their own. Repeated rows and crawls of a file are judged
+    each; other columns are ignored, and an empty table gives no rows.
     """
     judged = written(signs(files), "p3-signs")
-    third = F.array_contains("reasons", "place") | F.array_contains("reasons", "origin")
-    leaves = judged.filter("repo is not null and path is not null").select(
-        "repo", "path", F.col("leaf").alias("hash"), third.alias("foreign")
-    )
-    nodes = merkle(leaves)
-    shared = nodes.groupBy("hash").agg(
-        F.countDistinct(owner(F.col("repo"))).alias("owners"),
-        F.max("foreign").alias("known"),
-        F.max("files").alias("files"),
-    )
-    marked = shared.filter(f"(known and files = 1) or (owners >= 2 and known) or (owners >= {OWNERS} and files >= {FILES})")
-    trees = nodes.join(marked.filter(f"files >= {FILES}").select("hash"), "hash", "left_semi").select("repo", "path")
-    above = "transform(sequence(1, size(split(path, '/'))), i -> concat_ws('/', slice(split(path, '/'), 1, i)))"
-    places = judged.filter("repo is not null and path is not null").select(
-        "file_id", "repo", F.explode(F.expr(above)).alias("path")
-    )
-    by_tree = places.join(trees, ["repo", "path"], "left_semi").select("file_id")
-    by_leaf = judged.join(marked.filter("files = 1").select(F.col("hash").alias("leaf")), "leaf", "left_semi").select("file_id")
-    also = by_tree.union(by_leaf).distinct().withColumn("also", F.lit(True))
+    marked = vendored(merkle(judged))
+    below = judged.filter("size(nodes) > 0").select("file_id", F.explode("nodes.node").alias("node"))
+    also = below.join(marked, "node", "left_semi").select("file_id").distinct().withColumn("also", F.lit(True))
     return judged.join(also, "file_id", "left").select(
         "file_id",
-        F.when(F.col("also") & ~third, F.array_append("reasons", "shared")).otherwise(F.col("reasons")).alias("reasons"),
+        F.when(F.col("also"), F.array_append("reasons", "shared")).otherwise(F.col("reasons")).alias("reasons"),
     ).filter("size(reasons) > 0")
