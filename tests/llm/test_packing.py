@@ -2,8 +2,9 @@
 
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm.packing import TOKENIZER, Plan, fill, packed, token_counts
@@ -63,6 +64,54 @@ def test_fill(spark):
     df = spark.createDataFrame([(i, r.randint(1, 400)) for i in range(3000)], "id long, n_tokens long")
     row = fill(packed(df, {1: 512})).first()
     assert row["filled"] > 0.97
+    assert row["token_spread"] < 0.05 and row["cost_spread"] < 0.05
+
+
+def windows_of(plan):
+    """The lengths in each window of a plan of few items."""
+    out = defaultdict(list)
+    count = dict(plan.done)
+    for length, n in count.items():
+        for w in plan.find(np.full(n, length), np.arange(n))[0]:
+            out[int(w)].append(length)
+    return out
+
+
+def test_tiers_change_the_plan_and_keep_it_full():
+    r = random.Random(6)
+    lengths = [min(4096, int(r.lognormvariate(5.5, 1.3)) + 1) for _ in range(6000)]
+    sizes = Counter(lengths)
+    tiered, flat = (Plan(dict(sizes), 4096, tiers, 8) for tiers in ([512, 1024, 2048, 4096], []))
+    a, b = windows_of(tiered), windows_of(flat)
+    assert sorted(map(sorted, a.values())) != sorted(map(sorted, b.values()))
+    for found in (a, b):
+        assert sorted(x for own in found.values() for x in own) == sorted(lengths)
+        assert max(map(sum, found.values())) <= 4096
+    assert tiered.windows <= 1.005 * flat.windows
+
+
+def test_gaps_of_long_windows_are_filled_from_shorter_tiers():
+    plan = Plan({700: 2, 300: 2, 200: 4}, 1000, [250, 500], 8)
+    assert sorted(map(sorted, windows_of(plan).values())) == [[200] * 4, [300, 700], [300, 700]]
+
+
+def test_steps_cost_alike():
+    r = random.Random(8)
+    sizes = Counter(r.choice([40, 60, 900, 1000]) for _ in range(4000))
+    plan = Plan(dict(sizes), 1000, [100], 4)
+    cost, step = defaultdict(int), {}
+    for length, n in plan.done.items():
+        for w, _, s in zip(*plan.find(np.full(n, length), np.arange(n))):
+            cost[int(w)] += length**2
+            step[int(w)] = int(s)
+    total = Counter()
+    for w, c in cost.items():
+        total[step[w]] += c
+    values = np.array(list(total.values()))
+    spread = values.std() / values.mean()
+    assert spread < 0.05
+    in_order = np.array([cost[w] for w in sorted(cost)])[: len(cost) // 4 * 4].reshape(-1, 4).sum(axis=1)
+    assert in_order.std() / in_order.mean() > 2 * spread
 
 
 def test_plan_is_small():
