@@ -1,11 +1,17 @@
 """Problem 2: credentials written out in source and configuration files.
 
-Candidates are the values that stand where a credential would: assigned to, compared with or passed
-under a telling name, in an authorization header, in the user part of an address, in a login call,
-in a secret manifest, in a note of the form "user / value", or in the format of a known kind of
-key. Each is then segmented by Viterbi into words of a dictionary, counted over the identifiers of
-all files; a value that words explain is a placeholder or an identifier, a long unexplained
-residual is a credential. Digests and other known hash formats count only under a telling name.
+Candidates are literals, and bare values of configuration. Each is segmented by Viterbi into words
+of a dictionary, counted over the identifiers of all files; what no word explains is its residual.
+The name it stands under is segmented by the same words and tells how much is needed:
+
+* where a credential is expected (assigned to, compared with or passed under a telling name, in an
+  authorization header, in the user part of an address, in a login call, in a secret manifest, in a
+  note "user / value"), a residual of a few letters is one; what words explain is a placeholder or
+  an identifier. Digests count only here, in place of a password.
+* under any other name, or as an argument of a call, nearly all of a long value must be residual,
+  it must be of no known format (digest, UUID, address, public key) and its name of no
+  public kind (an id, a checksum, a version).
+* a phrase with blanks is one under a telling name if its words are no words of the files.
 """
 
 from __future__ import annotations
@@ -37,9 +43,10 @@ _PLAIN = (
 _LONG = (
     r"(?:password|passwd|passphrase|passwort|passcode|secret|token|api[_-]?key|bearer|credentials?|kennwort"
     r"|(?:secret|signing|licen[cs]e|access|private|auth|encryption|master|account|storage|tls|ssl|service|deploy)[_-]?key"
-    r"|schluessel|contrasena|contraseña|mot[_-]?de[_-]?passe)"
+    r"|schluessel|contrasena|contraseña|mot[_-]?de[_-]?passe|wachtwoord|lösenord|haslo|hasło|adgangskode"
+    r"|(?:signature|signing|hmac|otp|totp|wallet)[_-]?seed)"
 )
-_SHORT = r"(?:pass|pwd|pw|clave|senha|parola)"
+_SHORT = r"(?:pass|pwd|pw|clave|senha|parola|creds?)"
 _NAME = rf"(?:{_LONG}|{_SHORT})"
 _TELLING = (
     rf"(?:(?i:{_LONG}|(?<![a-z]){_SHORT})|(?<=[a-z])(?:Pass|Pwd|Pw|Clave))(?:_?(?:\d+|prod|dev|live|test|value|text))?(?![A-Za-z0-9_-])"
@@ -84,6 +91,24 @@ _PLACEHOLDER = re.compile(
 )
 _LOOKUP = re.compile(r"^(?:(?:os|process|env|ENV|System|vault|secrets|config|settings|self|this)\.[\w.\[\]()]+|\w+\(.*|\w[\w.]*\[.*)$")
 _HASH = re.compile(r"^(?:(?:md5|sha\d+)[:-].*|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$", re.I)
+#: Quoted or bare values without blanks that have letters and digits.
+_OPAQUE = re.compile(
+    r"(?P<q>[\"'`])(?=[^\"'`\n]*\d)(?=[^\"'`\n]*[A-Za-z])(?P<v>[^\s\"'`\\]{16,})(?P=q)|(?<=[:=])[ \t]*(?=[^\s\"'`#]*\d)(?P<b>[^\s\"'`#]{16,})[ \t]*\r?$", re.M
+)
+#: What a value stands under: the name it is assigned to or compared with, its key, or the call.
+_UNDER = re.compile(r"([A-Za-z_$][\w$-]*)[\"'`]?\]?\s*(?:\((?:[^();\n]*,)?|:=|=>|[=!]=+|[:=])\s*$")
+_FORMAT = re.compile(
+    r"^(?:\{?[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\}?|(?:0x)?[0-9a-f]+|[\d.,:+TZ-]+|\w[\w+.-]*://.*|(?:md5|sha\d*|blake\w+)[:-].*|ssh-\S+"
+    r"|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}(?:[:/].*)?|\.{0,2}/.*|(?:[\w.@-]+/)+[\w.@-]*|data:.*|\w+@\w[\w.]*(?::.*)?)$",
+    re.I,
+)
+#: Words of names whose values are meant to be seen.
+_PUBLIC = frozenset(
+    "id ids uid uuid guid node request tenant trace span sha md crc hash digest checksum integrity fingerprint etag commit revision rev"
+    " version tag build url uri host addr address path file icon image logo font pub public cert certificate pem nonce pattern regex re"
+    " compile banner alphabet charset chars test expected sample fixture vector serial index ref color error raise assert print log"
+    " format name title label message text html css svg json xml yaml base data blob bytes payload encoded decode content body".split()
+)
 _CONFIG = re.compile(r"\.(?:ya?ml|ini|env|toml|cfg|conf|properties|sh|bash)$|(?:^|/)\.env|(?:^|/)Dockerfile", re.I)
 
 
@@ -104,17 +129,33 @@ class Dictionary:
 
     def residual(self, value: str) -> int:
         """Return how many letters and digits of ``value`` no word explains (Viterbi)."""
-        text = value.lower()
+        text, price, longest = value.lower(), self.cost.get, self.longest
         unknown = 4.5
-        best: list[tuple[float, int]] = [(0.0, 0)]
+        costs, left = [0.0], [0]
+        for end in range(1, len(text) + 1):
+            word = text[end - 1].isalnum()
+            cost, rest = costs[-1] + unknown * word, left[-1] + word
+            for start in range(max(0, end - longest), end - 2 if word else 0):
+                found = price(text[start:end])
+                if found is not None and costs[start] + found < cost:
+                    cost, rest = costs[start] + found, left[start]
+            costs.append(cost)
+            left.append(rest)
+        return left[-1]
+
+    def words(self, name: str) -> set[str]:
+        """Return the words of an identifier, run-together ones told apart by Viterbi as well."""
+        parts = {p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)}
+        return parts | {w for p in parts if p not in self.cost for w in self._split(p)}
+
+    def _split(self, text: str) -> list[str]:
+        best: list[tuple[float, list[str]]] = [(0.0, [])]
         for end in range(1, len(text) + 1):
-            c = text[end - 1]
-            cost, left = best[end - 1]
-            step = (cost + unknown, left + 1) if c.isalnum() else (cost, left)
-            for start in range(max(0, end - self.longest), end - 2):
-                price = self.cost.get(text[start:end])
-                if price is not None and best[start][0] + price < step[0]:
-                    step = (best[start][0] + price, best[start][1])
+            step = (best[-1][0] + 4.5, best[-1][1])
+            for start in range(max(0, end - self.longest), end - 1):
+                found = self.cost.get(text[start:end])
+                if found is not None and best[start][0] + found < step[0]:
+                    step = (best[start][0] + found, [*best[start][1], text[start:end]])
             best.append(step)
         return best[-1][1]
 
@@ -127,9 +168,11 @@ class Finder:
 
     def _is(self, value: str, named: bool = True) -> bool:
         """Tell whether a value in place of a credential is one."""
-        if len(value) < 4 or len(value) > 4000 or _PLACEHOLDER.match(value) or _LOOKUP.match(value):
+        if len(value) < 4 or _PLACEHOLDER.match(value) or _LOOKUP.match(value):
             return False
-        if re.search(r"\s", value) or "..." in value or "${" in value or "{{" in value or "<" in value and ">" in value:
+        if re.search(r"\s", value):
+            return named and self._phrase(value)
+        if "..." in value or "${" in value or "{{" in value or "<" in value and ">" in value:
             return False
         if not named and _HASH.match(value):
             return False
@@ -137,6 +180,24 @@ class Finder:
             return False
         return self.words.residual(value) >= 3
 
+    def _phrase(self, value: str) -> bool:
+        """Tell whether a value with blanks is a pass phrase: words and numbers that are mostly none of the files."""
+        parts = value.split(" ")
+        if len(parts) < 4 or not all(re.fullmatch(r"[A-Za-z]{2,}|\d+", p) for p in parts) or not any(p.isdigit() for p in parts):
+            return False
+        letters = sum(map(len, parts))
+        return not any(p.lower() in _PLAIN for p in parts) and 2 * self.words.residual(value) >= letters
+
+    def _opaque(self, name: str, value: str) -> bool:
+        """Tell whether a value under a name that does not tell is one by itself: long, and no words at all."""
+        if _FORMAT.match(value) or _PLACEHOLDER.match(value) or _LOOKUP.match(value) or _HASH.match(value):
+            return False
+        kinds = sum(any(map(test, value)) for test in (str.islower, str.isupper, str.isdigit))
+        solid = sum(map(str.isalnum, value))
+        if kinds < 3 or solid < 0.85 * len(value) or len(set(value)) < 10 or self.words.words(name) & _PUBLIC:
+            return False
+        return self.words.residual(value) >= max(14, 0.8 * solid)
+
     def find(self, path: str | None, content: str) -> list[tuple[int, int]]:
         """Return the spans of credentials in ``content``, from 0 and with the end excluded."""
         lower = content.lower()
@@ -145,7 +206,9 @@ class Finder:
         windows = self._windows(lower)
         manifest = "kind: Secret" in content
         pem = "PRIVATE KEY" in content
-        if not windows and not manifest and not pem:
+        config = path is None or _CONFIG.search(path) is not None
+        opaque = [m for m in _OPAQUE.finditer(content) if config or m["v"]]
+        if not windows and not manifest and not pem and not opaque:
             return []
         spans: set[tuple[int, int]] = set()
         keys = []
@@ -186,7 +249,7 @@ class Finder:
             add(m, literal(m))
         for m in matches(_LOGIN):
             add(m, literal(m))
-        if path is None or _CONFIG.search(path):
+        if config:
             for m in matches(_BARE):
                 if "://" not in m["v"]:
                     add(m)
@@ -208,6 +271,13 @@ class Finder:
                         plain = row["v"]
                     if self._is(plain):
                         spans.add((start, start + len(row["v"])))
+        for m in opaque:
+            group = "v" if m["v"] else "b"
+            a, b = m.span(group)
+            if not inside(a, b) and not any(x < b and a < y for x, y in spans):
+                under = _UNDER.search(content, max(content.rfind("\n", 0, a) + 1, a - 200), m.start())
+                if under and self._opaque(under[1], m[group]):
+                    spans.add((a, b))
         return self._merged(spans)
 
     @staticmethod
