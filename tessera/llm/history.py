@@ -11,7 +11,7 @@ The history is a store of three tables, bucketed by key and partitioned by batch
 
 * ``chunks``: which accepted records hold a chunk, and how many bytes of each it covers;
 * ``holders``: how many records of each batch hold it, so that counts are added to, not recounted;
-* ``records``: the figures of each record.
+* ``records``: the chunks of each record.
 
 A batch is chunked alone. Only the batch is shuffled: the store is read in its buckets, streamed
 past the batch's chunks, and only rows of a chunk that the batch holds go on. Their bytes and numbers
@@ -21,8 +21,8 @@ reads those before it, so a batch that is tried again gives the same store.
 
 Nothing is capped. A record leaves out its commonest chunks only if they are hot (more than ``HOT``
 holders) and only as many of them as a linked pair can do without: whoever reaches the threshold
-shares one of the rest, and counts as if it shared all those left out. Chunks of very many holders
-are spread over several keys, so no task gets all rows of a stock chunk.
+shares one of the rest. A pair that needs those left out is counted on the chunks of both records.
+Chunks of very many holders are spread over several keys, so no task gets all rows of a stock chunk.
 
 A linked pair is lost only if it shares fewer chunks than ``LOSS`` allows: once in a million at
 exactly the threshold. Ids must not fall from one batch to the next: order of arrival is order of id.
@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ from tessera.plans.shared import written
 CHUNKS, HOT, SPLIT = 32, 64, 100_000
 #: Probability that a pair at the threshold shares fewer chunks than asked for; least share of bytes.
 LOSS, COVERAGE = 1e-6, 0.05
+#: Size of the table of least numbers; beyond ``MOST`` chunks, fewer than could be are asked for.
+SHARES, MOST = 16, 256
 _LEVEL = np.uint64(40)
 
 
@@ -72,32 +75,38 @@ def chunk(grams: np.ndarray, ends: np.ndarray, step: int) -> tuple[np.ndarray, n
     return found, np.bincount(at, sizes).astype(np.int32), coarse
 
 
-def least_shared(chunks: int, threshold: float) -> int:
-    """Return how many of so many chunks a pair at the threshold shares but for a chance of ``LOSS``."""
+def least_shared(chunks: int, share: float) -> int:
+    """Return how many of so many chunks are common to texts that share ``share`` of their windows, but for a chance of ``LOSS``."""
     total = 0.0
     for shared in range(chunks + 1):
-        total += math.comb(chunks, shared) * threshold**shared * (1 - threshold) ** (chunks - shared)
+        total += math.comb(chunks, shared) * share**shared * (1 - share) ** (chunks - shared)
         if total > LOSS:
             return shared
     return chunks
 
 
+@lru_cache(maxsize=4)
+def needed(threshold: float) -> str:
+    """Return ``least_shared`` as SQL: an array by share, from the threshold to 1, of arrays by number of chunks."""
+    shares = [threshold + (1 - threshold) * i / SHARES for i in range(SHARES)]
+    table = [[least_shared(k, share) for k in range(MOST + 1)] for share in shares]
+    return f"from_json('{table}', 'array<array<int>>')"
+
+
 CLASSES = (
-    "id long, same_a long, same_b long, windows int, total int, step int, least int, coarse_least int,"
+    "id long, same_a long, same_b long, windows int, total int, step int, fine int, rough int,"
     " chunks array<long>, sizes array<int>, coarse array<boolean>"
 )
 
 
-def chunked(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def chunked(texts: DataFrame, shingle: int) -> DataFrame:
     """Return the class and the chunks of each text that has a window of ``shingle`` words.
 
-    ``least`` is the number of its chunks that a linked text shares at the least, ``coarse_least``
-    that of its chunks at twice the step.
+    ``fine`` is the number of its chunks, ``rough`` that of its chunks at twice the step.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        needed = [least_shared(k, threshold) for k in range(257)]
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -113,7 +122,6 @@ def chunked(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
                     step = step_of(len(distinct))
                     found, size, both = chunk(grams, ends, step)
                     salt = mix(np.array([scope], np.int64).view(np.uint64))[0]
-                    least = math.ceil(threshold * len(found) - 1e-9) if step == 1 else needed[min(len(found), 256)]
                     rows.append(
                         (
                             i,
@@ -122,8 +130,8 @@ def chunked(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
                             len(distinct),
                             int(ends[-1]),
                             step,
-                            least,
-                            needed[min(int(both.sum()), 256)],
+                            len(found),
+                            int(both.sum()),
                         )
                     )
                     chunks.append(found ^ salt)
@@ -149,9 +157,9 @@ def chunked(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
 def chunk_rows(records: DataFrame) -> DataFrame:
     """Return one row for each chunk of each record."""
     zipped = F.explode(F.arrays_zip("chunks", "sizes", "coarse")).alias("c")
-    return records.select("id", "windows", "total", "step", "least", "coarse_least", zipped).select(
+    return records.select("id", "windows", "total", "step", "fine", "rough", zipped).select(
         F.col("c.chunks").alias("chunk"), "id", F.col("c.sizes").alias("size"), "windows", "step",
-        F.col("c.coarse").alias("coarse"), "total", "least", "coarse_least",
+        F.col("c.coarse").alias("coarse"), "total", "fine", "rough",
     )
 
 
@@ -178,7 +186,7 @@ class History:
     TABLES = {
         "chunks": ("key", "key long, id long, size int, windows int, step int"),
         "holders": ("chunk", "chunk long, n long"),
-        "records": ("id", "id long, windows int, total int"),
+        "records": ("id", "id long, windows int, chunks array<long>"),
     }
 
     def __init__(self, spark: SparkSession, path: str, shingle: int = 5, threshold: float = 0.8, buckets: int | None = None) -> None:
@@ -226,7 +234,7 @@ class History:
 
     def _classes(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Return the first record of each class, and (``id``, ``class_id``) of all records."""
-        made = written(chunked(texts, self.shingle, self.threshold), "p5-chunked")
+        made = written(chunked(texts, self.shingle), "p5-chunked")
         first = made.groupBy("same_a", "same_b").agg(F.min("id").alias("class_id"))
         members = written(
             made.select("id", "same_a", "same_b").join(first, ["same_a", "same_b"]).select("id", "class_id"),
@@ -252,7 +260,7 @@ class History:
         """
         classes, members = self._classes(texts)
         rows = written(self._counted(classes, batch), "p5-rows")
-        pairs = written(self._candidates(rows, batch), "p5-pairs")
+        pairs = written(self._candidates(rows, classes, batch), "p5-pairs")
         links = written(verified(pairs, corpus, self.shingle, self.threshold), "p5-links")
         decided = written(self._decide(links, members.filter("id = class_id").select("id")), "p5-decided")
         accepted = decided.filter("least is null").select("id")
@@ -275,47 +283,59 @@ class History:
             {"before": F.coalesce("before", F.lit(0)), "holders": F.coalesce("holders", F.lit(1))}
         )
 
-    def _candidates(self, rows: DataFrame, batch: int) -> DataFrame:
+    def _candidates(self, rows: DataFrame, classes: DataFrame, batch: int) -> DataFrame:
         """Return the pairs (``a`` < ``b``), ``b`` of the batch, whose common chunks cover enough of ``b``."""
+        t = self.threshold
+        table = needed(t)
         by_heat = Window.partitionBy("id").orderBy(F.desc("holders"), "chunk")
+        # A text of a greater step is longer, so that it shares at least 2t / (1 + t) of the windows of ``b``.
+        longer = int((2 * t / (1 + t) - t) / (1 - t) * SHARES + 1e-9)
+        least = f"if(step = 1, ceil({t} * fine - 1e-9), {table}[0][least(fine, {MOST})])"
         hot = (
             rows.filter(F.col("holders") > HOT)
             .withColumn("rank", F.row_number().over(by_heat))
             .withColumn("coarse_rank", F.count(F.when(F.col("coarse"), 1)).over(by_heat))
-            .withColumn("left_out", F.expr("rank < least and (not coarse or coarse_rank < coarse_least)"))
+            .withColumn("left_out", F.expr(f"rank < {least} and (not coarse or coarse_rank < {table}[{longer}][least(rough, {MOST})])"))
         )
         asked = rows.filter((F.col("holders") > 1) & (F.col("holders") <= HOT)).unionByName(
             hot.filter(~F.col("left_out")).select(rows.columns)
         ).select(
             "chunk", F.col("id").alias("b"), "size", F.col("windows").alias("windows_b"), F.col("step").alias("step_b"),
-            "before", "total", "least", "coarse_least",
+            "before", "total", "fine", "rough",
         )
         out = hot.filter("left_out").groupBy(F.col("id").alias("b")).agg(
             F.count("*").alias("out"), F.count(F.when(F.col("coarse"), 1)).alias("coarse_out"), F.sum("size").alias("bytes_out")
         )
-        alike = f"least(windows_a, windows_b) >= {self.threshold - 1e-9} * greatest(windows_a, windows_b)"
+        alike = f"least(windows_a, windows_b) >= {t - 1e-9} * greatest(windows_a, windows_b)"
 
-        def held(df: DataFrame, *by: str) -> DataFrame:
+        def side(df: DataFrame, *by: str) -> DataFrame:
             return df.select(*by, F.col("id").alias("a"), F.col("windows").alias("windows_a"), F.col("step").alias("step_a"))
 
-        coarser = (F.col("step_a") > F.col("step_b")).alias("coarser")
-        least = F.when(coarser, F.col("coarse_least")).otherwise(F.col("least")).alias("least")
-        found = ["a", "b", "size", coarser, least, "total"]
+        pair = ["a", "b", "windows_a", "step_a", "windows_b", "step_b", "fine", "rough", "total"]
         parts = F.explode(F.sequence(F.lit(0), keys(F.col("before")) - 1)).alias("part")
         probes = asked.filter("before > 0").select("*", parts).withColumn("key", key(F.col("chunk"), F.col("part")))
-        old = held(self.stored("chunks", batch), "key").join(probes.hint("shuffle_hash"), "key").filter(alike).select(*found)
-        new = asked.join(held(rows.filter("holders > before + 1"), "chunk").hint("merge"), "chunk").filter("a < b").filter(alike).select(*found)
-        totals = old.unionByName(new).groupBy("a", "b", "coarser", "least", "total").agg(
-            F.count("*").alias("shared"), F.sum("size").alias("bytes")
-        )
-        return (
+        old = side(self.stored("chunks", batch), "key").join(probes.hint("shuffle_hash"), "key").filter(alike).select(*pair, "size")
+        new = asked.join(side(rows.filter("holders > before + 1"), "chunk").hint("merge"), "chunk").filter("a < b").filter(alike).select(*pair, "size")
+        totals = old.unionByName(new).groupBy(*pair).agg(F.count("*").alias("shared"), F.sum("size").alias("bytes"))
+        common = f"{t / (1 + t)} * (windows_a + windows_b)"
+        place = f"cast(greatest(0, least({SHARES - 1}, floor(({common} / windows_b - {t}) / {1 - t} * {SHARES} + 1e-9))) as int)"
+        covered = written(
             totals.join(out, "b", "left")
-            .filter(
-                "shared + coalesce(if(coarser, coarse_out, out), 0) >= least"
-                f" and bytes + coalesce(bytes_out, 0) >= {COVERAGE} * total"
-            )
-            .select("a", "b")
-        )
+            .withColumn("coarser", F.expr("step_a > step_b"))
+            .withColumn("least", F.expr(
+                f"if(step_a = 1 and step_b = 1, ceil({common} - 1e-9), {table}[{place}][least(if(coarser, rough, fine), {MOST})])"
+            ))
+            .withColumn("most", F.expr("shared + coalesce(if(coarser, coarse_out, out), 0)"))
+            .filter(f"most >= least and bytes + coalesce(bytes_out, 0) >= {COVERAGE} * total")
+            .select("a", "b", "least", (F.col("shared") >= F.col("least")).alias("sure")),
+            "p5-covered",
+        )
+        chunks = lambda df, x: df.select(F.col("id").alias(x), F.col("chunks").alias(f"chunks_{x}"))
+        open_ = covered.filter("not sure").join(chunks(classes, "b"), "b")
+        exact = F.size(F.array_intersect("chunks_a", "chunks_b")) >= F.col("least")
+        held = chunks(self.stored("records", batch), "a").join(open_, "a").filter(exact).select("a", "b")
+        fresh = open_.join(chunks(classes, "a"), "a").filter(exact).select("a", "b")
+        return covered.filter("sure").select("a", "b").unionByName(held).unionByName(fresh)
 
     def _decide(self, links: DataFrame, batch: DataFrame) -> DataFrame:
         """Return (``id``, ``least``) for the classes of the batch; ``least`` is null if accepted.
