@@ -12,7 +12,7 @@ from tessera.llm.boilerplate import main_text, site_lines
 from tessera.llm.credentials import credentials, redacted
 from tessera.llm.foreign_code import foreign_files
 from tessera.llm.history import History
-from tessera.llm.language import documents_by_language, fit, labelled_sample, named_language, paragraphs
+from tessera.llm.language import Model, documents_by_language, fit, labelled_sample, paragraphs, segments
 from tessera.llm.leakage import leaks, without_leaks
 from tessera.llm.near_duplicates import group_pairs, near_duplicates
 from tessera.llm.packing import MOST_CAPACITIES, fill, packed, token_counts
@@ -186,8 +186,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents without the passages; a null text marks one to drop."""
-    documents = _spread(spark, sf_dir, "documents", "doc_id", "text")
-    return without_leaks(documents, leaks(documents, _read(spark, sf_dir, "benchmark")))
+    return without_leaks(_spread(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark"))
 
 
 P7_SQL = r"""
@@ -206,29 +205,41 @@ HAVING count(*) >= 0.4 * max(i.n) - 1e-9
 """
 
 
-def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = _spread(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").filter("source is null or not startswith(source, 'github_')")
-    return documents, paragraphs(documents, fit(labelled_sample(documents)))
+def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Model]:
+    """The documents that hold running text, and the classifiers."""
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").filter(
+        "source is null or not startswith(source, 'github_')"
+    )
+    return spread(documents), fit(labelled_sample(documents))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs whose language is not the one that the document's label names."""
-    documents, rows = _p8(spark, sf_dir)
-    labels = documents.select(F.col("doc_id").cast("long"), named_language(F.col("lang")).alias("named"))
-    wrong = rows.join(labels, "doc_id").filter("named is null or lang <> named")
+    wrong = paragraphs(*_p8(spark, sf_dir)).filter("lang <> 'other' and (named is null or lang <> named)")
     return wrong.select("doc_id", "para_no", "lang")
 
 
+def p8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and ambiguity of each paragraph."""
+    return paragraphs(*_p8(spark, sf_dir)).drop("named")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages within paragraphs that mix several."""
+    return segments(*_p8(spark, sf_dir))
+
+
 def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of each document."""
-    return documents_by_language(_p8(spark, sf_dir)[1])
+    """Language, confidence and ambiguity of each document, null where it holds no running text."""
+    documents, model = _p8(spark, sf_dir)
+    return documents_by_language(paragraphs(documents, model), _read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return the queries by name."""
     found = [
         p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_reasons, p4_found, p4_main_text, p5_found,
-        p6_packed, p6_fill, p7_found, p7_cleaned, p8_found, p8_documents,
+        p6_packed, p6_fill, p7_found, p7_cleaned, p8_found, p8_paragraphs, p8_segments, p8_documents,
     ]
     return {query.__name__: query for query in found}
 

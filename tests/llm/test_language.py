@@ -45,7 +45,8 @@ def test_paragraphs(spark):
     assert [got[0, i] for i in range(1, 8)] == list(SENTENCES)
     assert {k: v for k, v in got.items() if k[0] == 5} == {(5, 7): "fr"}
     assert got[8, 1] == "de" and (6, 1) not in got and (7, 1) not in got
-    docs = {r["doc_id"]: r for r in L.documents_by_language(L.paragraphs(df, fitted)).collect()}
+    docs = {r["doc_id"]: r for r in L.documents_by_language(L.paragraphs(df, fitted), df).collect()}
+    assert docs[6]["lang"] is None and docs[7]["lang"] is None and len(docs) == 6
     assert docs[0]["mixed"] and not docs[8]["mixed"] and docs[8]["lang"] == "de"
     assert L.paragraphs(df.limit(0), fitted).count() == 0
 
@@ -60,6 +61,24 @@ def test_fit_without_rows(spark):
 def test_quotation_does_not_change_a_paragraph():
     fitted = model()
     text = SENTENCES["de"][1] * 3 + " “" + SENTENCES["en"][0] + "” " + SENTENCES["de"][0]
-    grams, paragraph, counts = L.Trigrams().of([text])
+    grams, paragraph, counts, _ = L.Trigrams().of([text])
     scores, _ = fitted.scores(grams, paragraph, int(counts.sum()))
     assert L.LANGUAGES[fitted.decode(scores)[0][0]] == "de"
+
+
+def test_short_headings_and_rare_characters():
+    texts = ["東京", "中国语", "ab", "\U00020000\U00020001\U00020002"]
+    _, _, counts, letters = L.Trigrams().of(texts)
+    assert counts.tolist() == [1] * 4 and letters.tolist() == [4, 6, 2, 6]
+
+
+def test_segments_and_other_languages(spark):
+    fitted = model()
+    mixed = SENTENCES["en"][1] + " " + SENTENCES["en"][2] + " " + SENTENCES["de"][1]
+    korean = "정부는 어제 새로운 세금이 내년까지 중소기업에 적용되지 않을 것이라고 발표했다. 이 발표는 많은 사람들을 놀라게 했다."
+    df = spark.createDataFrame([(1, "x\n" + mixed, "en"), (2, SENTENCES["fr"][1], None), (3, None, "de"), (4, korean, "ko")], "doc_id long, text string, lang string")
+    rows = L.segments(df, fitted).orderBy("seg_no").collect()
+    assert [(r["doc_id"], r["para_no"], r["seg_no"], r["lang"]) for r in rows] == [(1, 2, 1, "en"), (1, 2, 2, "de")]
+    text = "x\n" + mixed
+    assert text[rows[1]["start_pos"] - 1 : rows[1]["end_pos"]] == SENTENCES["de"][1]
+    assert {r["doc_id"]: r["lang"] for r in L.paragraphs(df.filter("doc_id > 1"), fitted).collect()} == {2: "fr", 4: "other"}
