@@ -249,15 +249,15 @@ def _escaped(c: F.Column) -> F.Column:
     return c
 
 
-@query("SELECT page_id, content AS text FROM wikipedia_crawler WHERE content IS NOT NULL AND page_id % 10 <> 0")
+@query("SELECT page_id, content AS text FROM wikipedia_crawler WHERE content IS NOT NULL")
 def html_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of pages built around the articles, without tables, formulas and references."""
+    """Text of pages built around the articles, without tables, formulas and references; a redirect beside each has none."""
     html = F.concat(
-        F.when(F.col("page_id") % 10 == 0, '<div class="redirectMsg">').otherwise("<div>"),
-        F.lit("<p>"), _escaped(F.col("content")), F.lit("</p><table><tr><td>x</td></tr></table><math>y</math>"),
+        F.lit("<div>"), F.when(F.col("redirect"), F.lit('<div class="redirectMsg">to</div>')).otherwise(""), F.lit("<p>"), _escaped(F.col("content")), F.lit("</p><table><tr><td>x</td></tr></table><math>y</math>"),
         F.lit('<h2><span id="References">References</span></h2><ol><li>z</li></ol></div>'),
     )
     pages = spread(read(spark, sf_dir, "wikipedia_crawler").select("page_id", "content").filter("content is not null"))
+    pages = pages.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("redirect"))
     return pages.select("page_id", H.over(H.page_text, html).alias("text")).filter("text is not null")
 
 
@@ -300,13 +300,14 @@ def listing_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.explode(J.field_of_each(page, "$.recentchanges", "title")).alias("title"))
 
 
-@query("SELECT file_id, CASE WHEN file_id % 7 = 0 THEN NULL ELSE content END AS content FROM github_crawler WHERE content IS NOT NULL")
+@query(
+    "SELECT file_id, content FROM github_crawler WHERE content IS NOT NULL UNION ALL SELECT file_id, NULL FROM github_crawler WHERE content IS NOT NULL"
+)
 def base64_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents through base64; every seventh is spoilt and becomes null."""
-    coded = F.base64(F.col("content").cast("binary"))
-    sent = F.when(F.col("file_id") % 7 == 0, F.lit("/////w==")).otherwise(coded)
+    """Contents through base64; an answer beside each that is no text becomes null."""
+    sent = F.explode(F.array(F.base64(F.col("content").cast("binary")), F.lit("/////w==")))
     files = read(spark, sf_dir, "github_crawler").filter("content is not null")
-    return files.select("file_id", J.base64_text(sent).alias("content"))
+    return files.select("file_id", sent.alias("sent")).select("file_id", J.base64_text(F.col("sent")).alias("content"))
 
 
 _RANGE = "regexp_matches(created_range, '^\\d{4}-\\d{2}-\\d{2}\\.\\.\\d{4}-\\d{2}-\\d{2}$')"
@@ -527,13 +528,6 @@ def batched_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def model_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete run logs of a byte model that repeats itself."""
-    docs = spread(read(spark, sf_dir, "documents").select(F.col("dataset"), F.col("doc_id").alias("idx"), "text"))
-    return S.evaluate(docs, S.EvaluationConfig("local/repeat", "documents", "repeat", chunk_size=512, batch_size=8))
-
-
 _FIGURES = {
     "bpc": f"nll / chars * {LN2}",
     "bpb": f"nll / bytes * {LN2}",
@@ -576,7 +570,11 @@ def latest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.latest(read(spark, sf_dir, "run_log")).withColumn("value", F.round("value", 6))
 
 
-_SITES = ["bbc_news", "arxiv_physics", "wikipedia_english"]
+#: The sites of the report, one column each.
+_SITES = [
+    "ao3_chinese", "ao3_english", "arxiv_computer_science", "arxiv_physics", "bbc_news", "github_cpp", "github_python", "wikipedia_arabic",
+    "wikipedia_chinese", "wikipedia_english", "wikipedia_french", "wikipedia_german", "wikipedia_japanese", "wikipedia_spanish",
+]
 
 
 @query(
@@ -586,7 +584,7 @@ _SITES = ["bbc_news", "arxiv_physics", "wikipedia_english"]
     + " FROM w GROUP BY 1"
 )
 def leaderboard_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each model and a column for each of some sites, with the worst figure."""
+    """A row for each model and a column for each site, with the worst figure."""
     logs = R.latest(read(spark, sf_dir, "run_log"), "bpb")
     site = F.regexp_extract("dataset", "^(.*)_[0-9]+to[0-9]+", 1)
     wide = R.pivot(logs.withColumn("dataset", site), _SITES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,14 +41,20 @@ def mostly_letters(df: DataFrame, text: str, begin: int, end: int, share: float
     return df.filter(letter_count(F.col(text)) > share * (end - begin))
 
 
+def _told_apart(text: str) -> list[Column]:
+    """Return what tells texts apart in place of the text: two independent 64- and 128-bit hashes and the length."""
+    return [F.xxhash64(text).alias("h1"), F.md5(text).alias("h2"), F.length(text).alias("n")]
+
+
 def distinct_texts(df: DataFrame, text: str, key: str, *by: str) -> DataFrame:
     """Keep one row of each text, within ``by``: its least ``key``.
 
-    The shuffle carries a 128-bit hash and the key, not the text. Texts are told apart by two
-    independent 64-bit hashes and their length.
+    Texts are compared by their hashes, so the shuffle that finds the first of each carries hashes and keys.
+    The rows kept are then joined by key; beyond the broadcast limit that join moves each text
+    once, to the task of its own key, never to that of an equal text, so copies make no skew.
     """
-    marked = df.select(*by, key, F.xxhash64(text).alias("h1"), F.md5(text).alias("h2"), F.length(text).alias("n"))
-    first = marked.filter("n is not null").groupBy(*by, "h1", "h2", "n").agg(F.min(key).alias(key))
+    marked = df.filter(F.col(text).isNotNull()).select(*by, key, *_told_apart(text))
+    first = marked.groupBy(*by, "h1", "h2", "n").agg(F.min(key).alias(key))
     return df.join(first.select(key), key, "left_semi")
 
 
@@ -66,9 +73,17 @@ def first_seen(df: DataFrame, values: list[str], order: str) -> DataFrame:
 
 
 def first_index(df: DataFrame, text: str, key: str, *by: str) -> DataFrame:
-    """Return for every row the least ``key`` of an equal text, as ``first_index``."""
-    same = Window.partitionBy(*by, F.xxhash64(text), text)
-    return df.withColumn("first_index", F.min(key).over(same))
+    """Return for every row the least ``key`` of an equal text within ``by``, as ``first_index``; null texts are equal.
+
+    Hashes stand for the texts: the least key is found by partial aggregation and joined back on
+    the hashes, so a frequent text is folded in its tasks and no window holds its rows.
+    """
+    marked = df.select("*", *(c.alias(f"_{n}") for c, n in zip(_told_apart(text), ("h1", "h2", "n"))))
+    names = [*by, "_h1", "_h2", "_n"]
+    first = marked.groupBy(*names).agg(F.min(key).alias("first_index"))
+    first = first.select("first_index", *(F.col(n).alias(f"_of{i}") for i, n in enumerate(names)))
+    same = reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"_of{i}")) for i, n in enumerate(names)))
+    return marked.join(first, same).select(*df.columns, "first_index")
 
 
 def capped(df: DataFrame, n: int, order: str, *by: str) -> DataFrame:

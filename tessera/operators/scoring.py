@@ -86,15 +86,16 @@ def unigram_scores(df: DataFrame, text: str, corpus: str, size: int = 1024, toke
     """Score each corpus with its own unigram model: -ln(count / all), first of a chunk left out.
 
     Types are told apart by 64-bit hashes and counted before they are scored, so the shuffle
-    carries numbers, one row for each type of a task, and no tokens.
+    carries numbers, one row for each type of a task, and no tokens. The total of a corpus enters as
+    one logarithm, so no window gathers the types of a corpus.
     """
     chunk_start = F.col("pos") % F.lit(size) == 0
     typed = tokens(df, text, [corpus], tokenizer).groupBy(corpus, F.xxhash64("tok").alias("tok")).agg(
         F.count("*").alias("n"), F.sum((~chunk_start).cast("long")).alias("scored")
     )
-    everything = F.sum("n").over(Window.partitionBy(corpus))
-    return typed.withColumn("_nll", F.col("scored") * -F.log(F.col("n") / everything)).groupBy(corpus).agg(
-        F.sum("_nll").alias("nll"), F.sum("n").alias("tokens"), F.sum("scored").alias("scored")
+    counted = typed.withColumns({"_own": F.col("scored") * F.log(F.col("n"))})
+    return counted.groupBy(corpus).agg(
+        (F.sum("scored") * F.log(F.sum("n")) - F.sum("_own")).alias("nll"), F.sum("n").alias("tokens"), F.sum("scored").alias("scored")
     )
 
 
@@ -119,15 +120,22 @@ def bigram_types(df: DataFrame, text: str, by: list[str], size: int, bos: int =
 def bigram_scores(df: DataFrame, text: str, by: str, size: int = 1024, bos: int = 0, tokenizer: str = "word") -> DataFrame:
     """Score each corpus with a bigram model of all corpora: -ln(pair / first), per token within chunks.
 
-    One pass counts pairs by corpus; windows over the pair types give the model's counts, so
-    neither tokens nor count tables are joined. Both windows share one shuffle by
-    ``prev``; types are few beside tokens, and a hot ``prev`` is a streamed window partition.
+    One pass counts pairs by corpus. A pair's count and a first word's count are then each found by a
+    partial aggregation that keeps the counts of the corpora beside their sum (as many as there are
+    corpora, not rows), and the two logarithms are summed by corpus apart: no join, no window,
+    and a hot first word is folded before it is shuffled.
     """
-    types = bigram_types(df, text, [by], size, bos, tokenizer).repartition("prev")
-    pairs = types.withColumn("_pair", F.sum("n").over(Window.partitionBy("prev", "tok")))
-    counts = pairs.withColumn("_first", F.sum("n").over(Window.partitionBy("prev")))
-    nll = F.col("n") * -F.log(F.col("_pair") / F.col("_first"))
-    return counts.select(by, "n", nll.alias("_nll")).groupBy(by).agg(F.sum("_nll").alias("nll"), F.sum("n").alias("scored"))
+    types = bigram_types(df, text, [by], size, bos, tokenizer)
+
+    def logs(counts: DataFrame, *key: str) -> DataFrame:
+        """Sum the count of each corpus times the logarithm of the count of all."""
+        held = counts.groupBy(*key).agg(F.sum("n").alias("all"), F.collect_list(F.struct(F.col(by), F.col("n"))).alias("_own"))
+        parts = held.select("all", F.explode("_own").alias("_o"))
+        return parts.groupBy(F.col(f"_o.{by}").alias(by)).agg(F.sum(F.col("_o.n") * F.log("all")).alias("log"), F.sum("_o.n").alias("n"))
+
+    pairs = logs(types, "prev", "tok").select(by, (-F.col("log")).alias("log"), "n")
+    firsts = logs(types.groupBy(by, "prev").agg(F.sum("n").alias("n")), "prev").select(by, "log", F.lit(0).cast("long").alias("n"))
+    return pairs.unionByName(firsts).groupBy(by).agg(F.sum("log").alias("nll"), F.sum("n").alias("scored"))
 
 
 def run_log(scores: DataFrame, *by: str) -> DataFrame:
@@ -189,24 +197,26 @@ class RepeatBytes(UniformBytes):
 
     parameters = 2e-9
 
+    def __init__(self, space: float = 3.0, same: float = 1.0) -> None:
+        self.space, self.same = space, same
+
     def logits(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Return logits that favour the last byte and a space."""
         out = np.zeros((*ids.shape, 256), np.float32)
-        out[..., 32] = 3.0
+        out[..., 32] = self.space
         rows, places = np.nonzero(ids < 256)
-        out[rows, places, ids[rows, places]] += 1.0
+        out[rows, places, ids[rows, places]] += self.same
         return out
 
 
-SCORERS: dict[str, Callable[[], Scorer]] = {"uniform": UniformBytes, "repeat": RepeatBytes}
+SCORERS: dict[str, Callable[..., Scorer]] = {"uniform": UniformBytes, "repeat": RepeatBytes}
 
 
-def scorer(kind: str) -> Scorer:
-    """Return a scorer by name; an unknown one is an error."""
-    try:
-        return SCORERS[kind]()
-    except KeyError:
-        raise NotImplementedError(f"unknown model type: {kind}") from None
+def scorer(kind: str, model_args: dict | None = None, tokenizer_args: dict | None = None) -> Scorer:
+    """Return a scorer by name, made with the given arguments; an unknown name is an error."""
+    if kind not in SCORERS:
+        raise NotImplementedError(f"unknown model type: {kind}")
+    return SCORERS[kind](**(model_args or {}), **(tokenizer_args or {}))
 
 
 def pad_id(model: Scorer) -> int:
@@ -261,7 +271,7 @@ def score(df: DataFrame, config: EvaluationConfig) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = scorer(config.model_type)
+        model = scorer(config.model_type, config.model_args, config.tokenizer_args)
         for pdf in batches:
             texts = pdf["text"].tolist()
             nll, counts = score_batches(texts, model, config.chunk_size, config.add_bos, config.batch_size)
@@ -291,7 +301,7 @@ def evaluate(df: DataFrame, config: EvaluationConfig) -> DataFrame:
         "neg_log_prob_sum",
         "`avg tokens`",
         "`avg character count`",
-        F.lit(scorer(config.model_type).parameters).alias("parameters count"),
+        F.lit(scorer(config.model_type, config.model_args, config.tokenizer_args).parameters).alias("parameters count"),
         "`avg bytes`",
         "sample_count",
         F.lit(config.model_name_or_path).alias("model_name_or_path"),

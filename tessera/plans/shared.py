@@ -1,7 +1,8 @@
 """Tables that cut lineage, kept where every executor can read them.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session without
-that setting (a test on one machine) gets a folder of its own under the local temporary path.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session without that
+setting that runs on one machine (a test) gets a folder of its own under the local temporary path; on a
+cluster a missing setting is an error, since executors would not see each other's files.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tessera-")
@@ -39,7 +42,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written table that no later step reads."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -30,15 +30,16 @@ def dataset_fields(df: DataFrame) -> DataFrame:
     )
 
 
-def read_corpora(spark: SparkSession, path: str) -> DataFrame:
+def read_corpora(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Read JSON arrays of strings, a file or a folder of them, as (``dataset``, ``idx``, ``text``).
 
-    Positions are kept. Elements that are not strings become null; a file that is no array
-    gives no rows.
+    Positions are kept. Elements that are null become null; a file that is no array
+    gives no rows. Below a folder ``dataset=NAME`` a file belongs to the data set of that name.
     """
-    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
+    folder = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/dataset=([^/]+)/[^/]*$", 1), F.lit(""))
     rows = files.select(
-        dataset_name(F.col("_metadata.file_name")).alias("dataset"),
+        F.coalesce(folder, dataset_name(F.col("_metadata.file_name"))).alias("dataset"),
         F.posexplode(F.from_json("value", "array<string>", {"mode": "PERMISSIVE"})).alias("idx", "text"),
     )
     return rows
@@ -64,11 +65,17 @@ def read_archives(spark: SparkSession, path: str, ending: str = ".tex") -> DataF
     Members are read in memory and never unpacked to disk. A broken archive gives no rows, a
     member that is not UTF-8 null content.
     """
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    return unpacked(files.select(F.col("path").alias("archive"), "content"), ending)
+
+
+def unpacked(archives: DataFrame, ending: str = ".tex") -> DataFrame:
+    """Unpack (``archive``, ``content``), gzipped tar archives as binary, as ``read_archives`` does."""
 
     def unpack(batches):
         for pdf in batches:
             rows = []
-            for name, data in zip(pdf["path"], pdf["content"]):
+            for name, data in zip(pdf["archive"], pdf["content"]):
                 try:
                     with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tar:
                         for i, member in enumerate(m for m in tar if m.isfile() and m.name.endswith(ending)):
@@ -82,5 +89,4 @@ def read_archives(spark: SparkSession, path: str, ending: str = ".tex") -> DataF
                     continue
             yield pd.DataFrame(rows, columns=["archive", "ord", "path", "content"])
 
-    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
-    return files.mapInPandas(unpack, "archive string, ord int, path string, content string")
+    return archives.select("archive", "content").mapInPandas(unpack, "archive string, ord int, path string, content string")

@@ -1,7 +1,8 @@
 """Crawl sources: paged listings and fetches behind a transport that can be replaced.
 
 ``register`` adds the data source ``paged``. Options: ``transport`` (module:function), and any
-others, which are handed to the transport. The transport is called as
+others, which are handed to the transport; ``attempts`` and ``backoff`` for errors of the connection;
+``proxies`` (module:class), whose choice for each request is handed over as ``proxy``. The transport is called as
 ``transport(options, partition, token)`` and returns (rows, next token); paging within a
 partition ends when the token is None, and follows the continuation token it is given.
 """
@@ -13,6 +14,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -75,6 +77,17 @@ class Retry:
                 self.sleep(self.backoff * 2**attempt)
         return None
 
+    def run(self, request: Callable[[], Any]) -> Any:
+        """Return what ``request`` returns, trying again after errors of the connection; the last one is raised."""
+        for attempt in range(self.total):
+            try:
+                return request()
+            except OSError:
+                if attempt + 1 == self.total:
+                    raise
+                self.sleep(self.backoff * 2**attempt)
+        return None
+
 
 class Proxies:
     """Where requests go out; override ``choose`` to use one."""
@@ -97,6 +110,12 @@ def rate_limit(headers: dict[str, str]) -> dict[str, int | None]:
     return {name: value(f"x-ratelimit-{name}") for name in ("limit", "remaining", "reset")}
 
 
+def _named(place: str) -> Callable:
+    """Return what ``module:name`` names."""
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 class _Partition(InputPartition):
     def __init__(self, value: str) -> None:
         self.value = value
@@ -113,11 +132,13 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         """Follow the continuation tokens of one partition and yield its rows."""
-        module, _, name = self.options["transport"].partition(":")
-        transport = getattr(importlib.import_module(module), name)
+        transport = _named(self.options["transport"])
+        proxies = _named(self.options["proxies"])() if "proxies" in self.options else Proxies()
+        retry = Retry(int(self.options.get("attempts", 5)), float(self.options.get("backoff", 0.1)))
         token = None
         while True:
-            rows, token = transport(self.options, partition.value, token)
+            sent = {**self.options, "proxy": json.dumps(proxies.choose())}
+            rows, token = retry.run(lambda at=token: transport(sent, partition.value, at))
             for row in rows:
                 yield tuple(row.get(n) for n in self.names)
             if token is None:
@@ -159,3 +180,23 @@ def fixture_pages(options: dict[str, str], partition: str, token: str | None) ->
         raise RuntimeError(pages[at])
     rows = [{"partition": partition, "value": v} for v in pages[at]]
     return rows, str(at + 1) if at + 1 < len(pages) else None
+
+
+def recorded_pages(options: dict[str, str], partition: str, token: str | None) -> tuple[list[dict], str | None]:
+    """Serve recorded answers: Parquet files in the folder ``answers`` with ``partition``, ``page`` and the columns asked for.
+
+    The token is the number of the page; the next one is the next that the partition has.
+    """
+    import pyarrow.compute as pc
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(options["answers"])
+    table = ds.dataset(path, filesystem=system, format="parquet")
+    own = pc.field("partition") == partition
+    pages = sorted(set(table.to_table(columns=["page"], filter=own)["page"].to_pylist()))
+    later = [p for p in pages if p >= int(token or 0)]
+    if not later:
+        return [], None
+    rows = table.to_table(filter=own & (pc.field("page") == later[0])).to_pylist()
+    return rows, str(later[1]) if len(later) > 1 else None
