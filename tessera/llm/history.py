@@ -3,8 +3,8 @@
 A rolling hash over the words of a text opens a chunk wherever it falls on a multiple of the
 text's step, and a chunk is known by the window that opens it. An edit inside a chunk therefore
 leaves the chunk known: two texts of similarity J share a share of chunks that is J on average,
-not the few chunks without any edit. The step is a power of two that gives a text 32 to 64 chunks;
-a text of fewer than 64 windows has a chunk at each of them, so short texts are compared
+not the few chunks without any edit. The step is a power of two that gives a text 24 to 48 chunks;
+a text of fewer than 48 windows has a chunk at each of them, so short texts are compared
 exactly. Texts of neighbouring steps meet on the chunks of the greater step.
 
 The history is a store of three tables, bucketed by key and partitioned by batch:
@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.links import verified
 from tessera.llm.words import WORD, WordHashes, mix, shingles
-from tessera.plans.shared import written
+from tessera.plans.shared import discard, written
 
 #: Chunks of a text: at least so many on average. Holders beyond which a chunk is hot, and by key.
-CHUNKS, HOT, SPLIT = 32, 64, 100_000
+CHUNKS, HOT, SPLIT = 24, 8, 100_000
 #: Probability that a pair at the threshold shares fewer chunks than asked for; least share of bytes.
 LOSS, COVERAGE = 1e-6, 0.05
 #: Size of the table of least numbers; beyond ``MOST`` chunks, fewer than could be are asked for.
@@ -157,10 +157,9 @@ def chunked(texts: DataFrame, shingle: int) -> DataFrame:
 def chunk_rows(records: DataFrame) -> DataFrame:
     """Return one row for each chunk of each record."""
     zipped = F.explode(F.arrays_zip("chunks", "sizes", "coarse")).alias("c")
-    return records.select("id", "windows", "total", "step", "fine", "rough", zipped).select(
-        F.col("c.chunks").alias("chunk"), "id", F.col("c.sizes").alias("size"), "windows", "step",
-        F.col("c.coarse").alias("coarse"), "total", "fine", "rough",
-    )
+    return records.select("id", "windows", zipped).select(
+        F.col("c.chunks").alias("chunk"), "id", F.col("c.sizes").alias("size"), "windows", F.col("c.coarse").alias("coarse")
+    )
 
 
 def keys(holders: Column) -> Column:
@@ -184,7 +183,7 @@ class History:
     """
 
     TABLES = {
-        "chunks": ("key", "key long, id long, size int, windows int, step int"),
+        "chunks": ("key", "key long, id long, size int, windows int"),
         "holders": ("chunk", "chunk long, n long"),
         "records": ("id", "id long, windows int, chunks array<long>"),
     }
@@ -216,11 +215,12 @@ class History:
         """Return a table of the store as it was before a batch."""
         return self.spark.table(f"{self.prefix}_{name}").filter(F.col("batch") < before)
 
-    def _store(self, name: str, rows: DataFrame, batch: int) -> None:
-        """Write the part of a table that a batch adds, one file for each bucket."""
+    def _store(self, name: str, rows: DataFrame, batch: int, placed: bool = False) -> None:
+        """Write the part of a table that a batch adds, one file for each bucket; ``placed`` rows lie by bucket already."""
         by, columns = self.TABLES[name]
         names = [part.split()[0] for part in columns.split(", ")]
-        rows.select(*names).repartition(self.buckets, by).createOrReplaceTempView("history_rows")
+        rows = rows.select(*names)
+        (rows if placed else rows.repartition(self.buckets, by)).createOrReplaceTempView("history_rows")
         self.spark.sql(
             f"INSERT OVERWRITE TABLE {self.prefix}_{name} PARTITION (batch = {int(batch)}) SELECT {', '.join(names)} FROM history_rows"
         )
@@ -229,7 +229,6 @@ class History:
         """Add records to the store; ``rows`` has their chunks with ``before``, the holders so far."""
         part = F.pmod(F.xxhash64("id"), keys(F.col("before"))).cast("int")
         self._store("chunks", rows.withColumn("key", key(F.col("chunk"), part)), batch)
-        self._store("holders", rows.groupBy("chunk").agg(F.count("*").alias("n")), batch)
         self._store("records", classes, batch)
 
     def _classes(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -240,14 +239,20 @@ class History:
             made.select("id", "same_a", "same_b").join(first, ["same_a", "same_b"]).select("id", "class_id"),
             "p5-members",
         )
-        return made.join(members.filter("id = class_id").select("id"), "id", "left_semi"), members
+        classes = written(made.join(members.filter("id = class_id").select("id"), "id", "left_semi").drop("same_a", "same_b"), "p5-classes")
+        discard(made)
+        return classes, members
 
     def start(self, texts: DataFrame, batch: int = 0) -> None:
         """Accept all of ``texts`` (``id``, ``text``, ``scope``) as the history, its batch ``batch``."""
         classes = self._classes(texts)[0]
         rows = chunk_rows(classes)
-        many = rows.groupBy("chunk").agg(F.count("*").alias("before")).filter(F.col("before") >= SPLIT)
-        counted = rows.join(many, "chunk", "left").withColumn("before", F.coalesce("before", F.lit(0)))
+        self._store("holders", rows.groupBy("chunk").agg(F.count("*").alias("n")), batch, placed=True)
+        many = self.stored("holders", batch + 1).filter(F.col("n") >= SPLIT).select("chunk", F.col("n").alias("before"))
+        if many.isEmpty():
+            counted = rows.withColumn("before", F.lit(0))
+        else:
+            counted = rows.join(many, "chunk", "left").withColumn("before", F.coalesce("before", F.lit(0)))
         self._append(counted, classes, batch)
 
     def check(self, texts: DataFrame, corpus: DataFrame, batch: int) -> DataFrame:
@@ -264,7 +269,9 @@ class History:
         links = written(verified(pairs, corpus, self.shingle, self.threshold), "p5-links")
         decided = written(self._decide(links, members.filter("id = class_id").select("id")), "p5-decided")
         accepted = decided.filter("least is null").select("id")
-        self._append(rows.join(accepted, "id", "left_semi"), classes.join(accepted, "id", "left_semi"), batch)
+        kept = rows.join(accepted, "id", "left_semi")
+        self._store("holders", kept.groupBy("chunk").agg(F.count("*").alias("n")), batch, placed=True)
+        self._append(kept, classes.join(accepted, "id", "left_semi"), batch)
         return (
             members.join(decided.withColumnRenamed("id", "class_id"), "class_id")
             .select(F.coalesce("least", "class_id").alias("id_a"), F.col("id").alias("id_b"))
@@ -287,43 +294,47 @@ class History:
         """Return the pairs (``a`` < ``b``), ``b`` of the batch, whose common chunks cover enough of ``b``."""
         t = self.threshold
         table = needed(t)
+        own = classes.select(F.col("id").alias("b"), F.col("windows").alias("windows_b"), "step", "fine", "rough", "total")
         by_heat = Window.partitionBy("id").orderBy(F.desc("holders"), "chunk")
         # A text of a greater step is longer, so that it shares at least 2t / (1 + t) of the windows of ``b``.
         longer = int((2 * t / (1 + t) - t) / (1 - t) * SHARES + 1e-9)
         least = f"if(step = 1, ceil({t} * fine - 1e-9), {table}[0][least(fine, {MOST})])"
         hot = (
             rows.filter(F.col("holders") > HOT)
+            .join(classes.select("id", "step", "fine", "rough"), "id")
             .withColumn("rank", F.row_number().over(by_heat))
             .withColumn("coarse_rank", F.count(F.when(F.col("coarse"), 1)).over(by_heat))
             .withColumn("left_out", F.expr(f"rank < {least} and (not coarse or coarse_rank < {table}[{longer}][least(rough, {MOST})])"))
         )
         asked = rows.filter((F.col("holders") > 1) & (F.col("holders") <= HOT)).unionByName(
             hot.filter(~F.col("left_out")).select(rows.columns)
-        ).select(
-            "chunk", F.col("id").alias("b"), "size", F.col("windows").alias("windows_b"), F.col("step").alias("step_b"),
-            "before", "total", "fine", "rough",
-        )
+        ).select("chunk", F.col("id").alias("b"), "size", F.col("windows").alias("windows_b"), "before", "holders")
         out = hot.filter("left_out").groupBy(F.col("id").alias("b")).agg(
             F.count("*").alias("out"), F.count(F.when(F.col("coarse"), 1)).alias("coarse_out"), F.sum("size").alias("bytes_out")
         )
         alike = f"least(windows_a, windows_b) >= {t - 1e-9} * greatest(windows_a, windows_b)"
 
-        def side(df: DataFrame, *by: str) -> DataFrame:
-            return df.select(*by, F.col("id").alias("a"), F.col("windows").alias("windows_a"), F.col("step").alias("step_a"))
+        def side(df: DataFrame, by: str) -> DataFrame:
+            return df.select(by, F.col("id").alias("a"), F.col("windows").alias("windows_a"))
 
-        pair = ["a", "b", "windows_a", "step_a", "windows_b", "step_b", "fine", "rough", "total"]
+        pair = ["a", "b", "windows_a", "size"]
         parts = F.explode(F.sequence(F.lit(0), keys(F.col("before")) - 1)).alias("part")
-        probes = asked.filter("before > 0").select("*", parts).withColumn("key", key(F.col("chunk"), F.col("part")))
-        old = side(self.stored("chunks", batch), "key").join(probes.hint("shuffle_hash"), "key").filter(alike).select(*pair, "size")
-        new = asked.join(side(rows.filter("holders > before + 1"), "chunk").hint("merge"), "chunk").filter("a < b").filter(alike).select(*pair, "size")
-        totals = old.unionByName(new).groupBy(*pair).agg(F.count("*").alias("shared"), F.sum("size").alias("bytes"))
+        probes = asked.filter("before > 0").select("*", parts).select(key(F.col("chunk"), F.col("part")).alias("key"), "b", "size", "windows_b")
+        old = side(self.stored("chunks", batch), "key").join(probes.hint("shuffle_hash"), "key").filter(alike).select(*pair)
+        several = F.col("holders") > F.col("before") + 1
+        new = asked.filter(several).select("chunk", "b", "size", "windows_b").join(side(rows.filter(several), "chunk").hint("merge"), "chunk")
+        totals = old.unionByName(new.filter("a < b").filter(alike).select(*pair)).groupBy("a", "b").agg(
+            F.count("*").alias("shared"), F.sum("size").alias("bytes"), F.first("windows_a").alias("windows_a")
+        )
         common = f"{t / (1 + t)} * (windows_a + windows_b)"
         place = f"cast(greatest(0, least({SHARES - 1}, floor(({common} / windows_b - {t}) / {1 - t} * {SHARES} + 1e-9))) as int)"
+        step_a = f"if(windows_a < {2 * CHUNKS}, 1, cast(pow(2, floor(log2(windows_a / {CHUNKS}))) as int))"
         covered = written(
-            totals.join(out, "b", "left")
-            .withColumn("coarser", F.expr("step_a > step_b"))
+            totals.join(own, "b")
+            .join(out, "b", "left")
+            .withColumn("coarser", F.expr(f"{step_a} > step"))
             .withColumn("least", F.expr(
-                f"if(step_a = 1 and step_b = 1, ceil({common} - 1e-9), {table}[{place}][least(if(coarser, rough, fine), {MOST})])"
+                f"if(windows_a < {2 * CHUNKS} and step = 1, ceil({common} - 1e-9), {table}[{place}][least(if(coarser, rough, fine), {MOST})])"
             ))
             .withColumn("most", F.expr("shared + coalesce(if(coarser, coarse_out, out), 0)"))
             .filter(f"most >= least and bytes + coalesce(bytes_out, 0) >= {COVERAGE} * total")
@@ -352,9 +363,10 @@ class History:
         while not states.filter("state = 'open'").isEmpty():
             known = links.join(states.withColumnRenamed("id", "a"), "a", "left")
             seen = known.groupBy(F.col("b").alias("id")).agg(settled.alias("next"))
-            states = written(
+            earlier, states = states, written(
                 states.join(seen, "id").select("id", F.when(state == "open", F.col("next")).otherwise(state).alias("state")), "p5-states"
             )
+            discard(earlier)
         accepted = links.join(states.withColumnRenamed("id", "a"), "a", "left").filter(
             F.coalesce("state", F.lit("in")) == "in"
         )

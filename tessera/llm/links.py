@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import WordHashes, shingles, similarity
-from tessera.plans.shared import written
+from tessera.plans.shared import discard, written
 
 
 #: Most bits of the table of wanted ids, 64 to a row of 16 bytes: at most 33 MB.
@@ -99,7 +99,8 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         before = now
         if not now[0]:
             break
-        edges = written(star(star(edges, large=True), large=False), label)
+        earlier, edges = edges, written(star(star(edges, large=True), large=False), label)
+        discard(earlier)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     )
