@@ -103,8 +103,12 @@ links AS (SELECT s.crawler, s.a, s.b FROM shared s JOIN sizes x ON x.crawler = s
   JOIN sizes y ON y.crawler = s.crawler AND y.id = s.b WHERE s.k >= 0.7 * (x.n + y.n - s.k) - 1e-9),
 near AS (SELECT * FROM links UNION ALL SELECT crawler, b, a FROM links),
 reach AS (SELECT crawler, a, b FROM near UNION SELECT r.crawler, r.a, n.b FROM reach r JOIN near n ON r.crawler = n.crawler AND r.b = n.a)
-SELECT crawler, a AS id_a, b AS id_b FROM reach WHERE a < b
 """
+P1_FOUND_SQL = P1_SQL + "SELECT crawler, a AS id_a, b AS id_b FROM reach WHERE a < b"
+P1_GROUPS_SQL = (
+    P1_SQL + "SELECT s.crawler, s.id, least(s.id, coalesce(min(r.b), s.id)) AS group_id FROM sizes s LEFT JOIN reach r"
+    " ON r.crawler = s.crawler AND r.a = s.id GROUP BY s.crawler, s.id"
+)
 
 P4_TABLES = [("bbc_crawler", "article_id", "extracted_contents"), ("wikipedia_crawler", "page_id", "content")]
 
@@ -162,6 +166,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Decides the linked records one after the other, in order, against the list of those rejected so far.
+P5_SQL = r"""
+WITH RECURSIVE records AS (
+  SELECT 'bbc_crawler' AS crawler, article_id AS id, batch_no, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM bbc_crawler
+  UNION ALL
+  SELECT 'github_crawler', file_id, batch_no, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') FROM github_crawler),
+places AS (SELECT crawler, id, batch_no, w, unnest(range(1, len(w) - 1)) AS i FROM records WHERE len(w) >= 3),
+grams AS (SELECT DISTINCT crawler, id, batch_no, hash(array_to_string(w[i:i + 2], ' ')) AS g FROM places),
+sizes AS (SELECT crawler, id, count(*) AS n FROM grams GROUP BY 1, 2),
+shared AS (SELECT a.crawler, a.id AS a, b.id AS b, count(*) AS k FROM grams a JOIN grams b
+  ON a.crawler = b.crawler AND a.g = b.g AND a.id < b.id AND b.batch_no > 0 GROUP BY 1, 2, 3),
+links AS (SELECT s.crawler, s.a, s.b FROM shared s JOIN sizes x ON x.crawler = s.crawler AND x.id = s.a
+  JOIN sizes y ON y.crawler = s.crawler AND y.id = s.b WHERE s.k >= 0.7 * (x.n + y.n - s.k) - 1e-9),
+asked AS (SELECT crawler, b, list(a ORDER BY a) AS before, row_number() OVER (PARTITION BY crawler ORDER BY b) AS turn FROM links GROUP BY 1, 2),
+decided AS (
+  SELECT crawler, CAST(0 AS BIGINT) AS turn, CAST([] AS BIGINT[]) AS rejected, CAST(NULL AS BIGINT) AS id_a, CAST(NULL AS BIGINT) AS id_b
+  FROM (SELECT DISTINCT crawler FROM asked)
+  UNION ALL
+  SELECT d.crawler, q.turn, CASE WHEN q.found IS NULL THEN d.rejected ELSE list_append(d.rejected, q.b) END, q.found, q.b
+  FROM decided d, LATERAL (SELECT a.turn, a.b, list_filter(a.before, lambda x: NOT list_contains(d.rejected, x))[1] AS found FROM asked a
+    WHERE a.crawler = d.crawler AND a.turn = d.turn + 1) q)
+SELECT crawler, id_a, id_b FROM decided WHERE id_a IS NOT NULL
+"""
+
+
 def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "window_sizes").select("window_id", "capacity").limit(MOST_CAPACITIES + 1).collect()
     sizes = written(token_counts(_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"), "p6-sizes")
@@ -246,4 +275,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Return the SQL of the queries that SQL can express over whole tables in reasonable time."""
-    return {"p1_found": P1_SQL, "p7_found": P7_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_groups": P1_GROUPS_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}

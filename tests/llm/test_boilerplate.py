@@ -24,6 +24,44 @@ def test_held_out_accuracy(model):
     assert hits / found > 0.95 and hits / wanted > 0.95
 
 
+#: Pages of kinds and languages whose lines the labelled table does not have; "-" marks lines of the site.
+UNSEEN = """- Skip to article
+- Front page | Region | Weather | Letters | Shop
+The ferry between the two islands will stop running in October after the operator lost its licence, officials said on Tuesday.
+Passengers who had bought season tickets were told that they would be paid back before the end of the year.
+- Share on WhatsApp
+Why the boats stopped
+An inspector found that the older of the two boats had been repaired with parts that were never tested.
+- Most viewed
+- Ten walks for a wet weekend
+- Manage consent
+- © 2024 Island Courier Ltd
+====
+- Zum Hauptmenü springen
+- Start | Region | Wetter | Leserbriefe | Abo
+Die Fähre zwischen den beiden Inseln wird im Oktober eingestellt, weil der Betreiber seine Genehmigung verloren hat.
+Fahrgäste, die Dauerkarten gekauft hatten, sollen ihr Geld vor dem Ende des Jahres zurückbekommen.
+- Artikel teilen
+- Impressum | Datenschutz | Kontakt
+====
+- Vai al menu principale
+- Prima pagina | Cronaca | Meteo | Lettere | Abbonamenti
+Il traghetto tra le due isole si fermerà a ottobre dopo che il gestore ha perso la licenza, hanno detto martedì i funzionari.
+I passeggeri che avevano comprato un abbonamento saranno rimborsati prima della fine dell'anno.
+- Condividi su Facebook
+- Note legali | Privacy | Contatti"""
+
+
+def test_unseen_sites_and_languages(model):
+    right = total = 0
+    for page in UNSEEN.split("\n====\n"):
+        lines = page.split("\n")
+        text = "\n".join(x.removeprefix("- ") for x in lines)
+        got, want = set(model.site_lines(text)), {i for i, x in enumerate(lines, 1) if x.startswith("- ")}
+        right, total = right + len(lines) - len(got ^ want), total + len(lines)
+    assert right / total >= 0.85, (right, total)
+
+
 def test_features():
     assert link_density("A | B | C | D") == 1
     assert link_density("MenuHomeNewsSportMoney") == 1

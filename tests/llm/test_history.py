@@ -33,7 +33,7 @@ def run(spark, rows, by_turn, n=3, threshold=0.7, twice=False):
     turns = [(t, F.col("turn") == t) for t in (1, 2, 3)] if by_turn else [(1, F.col("turn") > 0)]
     out = {}
     for t, chosen in turns:
-        if twice:
+        if twice and t == 1:
             store.check(df.filter(chosen), df, t)
             store = History(spark, path, n, threshold)
         out |= {r["id_b"]: r["id_a"] for r in store.check(df.filter(chosen), df, t).collect()}
@@ -55,7 +55,7 @@ def test_common_chunks_in_parts(spark, monkeypatch):
     monkeypatch.setattr(history, "HOT", 1)
     monkeypatch.setattr(history, "SPLIT", 3)
     rows = make(5, bases=4)
-    assert run(spark, rows, True) == brute.rejected(rows, 3, 0.7)
+    assert run(spark, rows, False) == brute.rejected(rows, 3, 0.7)
 
 
 def edited(words, at):
