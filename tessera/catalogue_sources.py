@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.catalogue import _document_stream, _escaped, _quoted, query, read
@@ -17,7 +18,7 @@ from tessera.operators import report as R
 from tessera.operators import scoring as S
 from tessera.plans.shared import new_path, spread
 from tessera.schema import RUN_LOG_FIELDS
-from tessera.sources import files, sinks, web
+from tessera.sources import files, sinks, sites, web
 from tessera.streaming.collect import distinct_stream, run_to_table
 
 
@@ -110,17 +111,26 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LANGUAGES = ", ".join(_quoted(x) for x in web.ENCYCLOPEDIA_HOSTS)
 
 
-@query(f"SELECT language, page_id, title FROM wikipedia_crawler WHERE language IN ({_LANGUAGES})")
-def paged_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing read page by page from recorded answers, a task for each language, by continuation tokens."""
+@query(f"SELECT language, title, rc_timestamp AS timestamp FROM wikipedia_crawler WHERE language IN ({_LANGUAGES})")
+def recent_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings of all languages, read page by page from recorded answers by their continuations, a task for each language."""
     path = new_path(spark, "answers")
     pages = read(spark, sf_dir, "wikipedia_crawler").filter(F.col("language").isin(list(web.ENCYCLOPEDIA_HOSTS)))
-    pages.select(F.col("language").alias("partition"), F.expr("page_id div 500").alias("page"), "language", "page_id", "title").write.parquet(path)
+    change = F.struct("title", F.col("rc_timestamp").alias("timestamp"))
+    answers = pages.groupBy("language", F.expr("page_id div 500").alias("page")).agg(F.collect_list(change).alias("recentchanges"))
+    in_order = Window.partitionBy("language").orderBy("page")
+    follow = F.lead("page").over(in_order)
+    body = F.struct(
+        F.struct("recentchanges").alias("query"), F.when(follow.isNotNull(), F.struct(follow.cast("string").alias("rccontinue"))).alias("continue")
+    )
+    params = sites.LISTING | {"rcstart": "a", "rcend": "b", "rclimit": "500"}
+    first = F.create_map(*(F.lit(x) for k, v in web.ENCYCLOPEDIA_HOSTS.items() for x in (k, sites.Request(v, params).address)))
+    token = F.when(F.row_number().over(in_order) > 1, F.concat(F.lit("&rccontinue="), F.col("page"))).otherwise("")
+    answers.select(F.concat(first[F.col("language")], token).alias("address"), F.lit(200).alias("status"), F.to_json(body).alias("body")).write.parquet(path)
     web.register(spark)
-    listing = spark.read.format("paged").schema("language string, page_id long, title string")
-    for key, value in {"transport": "tessera.sources.web:recorded_pages", "answers": path, "partitions": str(list(web.ENCYCLOPEDIA_HOSTS)).replace("'", '"')}.items():
-        listing = listing.option(key, value)
-    return listing.load()
+    listing = spark.read.format("paged").schema("language string, title string, timestamp string")
+    options = {"transport": "tessera.sources.sites:new_pages", "answers": path, "partitions": json.dumps(list(web.ENCYCLOPEDIA_HOSTS)), "start": "a", "end": "b"}
+    return listing.options(**options).load()
 
 
 @query("SELECT article_id, '/works/' || article_id || '/chapters/' || length(url) AS link FROM bbc_crawler WHERE url IS NOT NULL")

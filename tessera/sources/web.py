@@ -110,7 +110,7 @@ def rate_limit(headers: dict[str, str]) -> dict[str, int | None]:
     return {name: value(f"x-ratelimit-{name}") for name in ("limit", "remaining", "reset")}
 
 
-def _named(place: str) -> Callable:
+def named(place: str) -> Callable:
     """Return what ``module:name`` names."""
     module, _, name = place.partition(":")
     return getattr(importlib.import_module(module), name)
@@ -132,8 +132,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         """Follow the continuation tokens of one partition and yield its rows."""
-        transport = _named(self.options["transport"])
-        proxies = _named(self.options["proxies"])() if "proxies" in self.options else Proxies()
+        transport = named(self.options["transport"])
+        proxies = named(self.options["proxies"])() if "proxies" in self.options else Proxies()
         retry = Retry(int(self.options.get("attempts", 5)), float(self.options.get("backoff", 0.1)))
         token = None
         while True:
@@ -180,23 +180,3 @@ def fixture_pages(options: dict[str, str], partition: str, token: str | None) ->
         raise RuntimeError(pages[at])
     rows = [{"partition": partition, "value": v} for v in pages[at]]
     return rows, str(at + 1) if at + 1 < len(pages) else None
-
-
-def recorded_pages(options: dict[str, str], partition: str, token: str | None) -> tuple[list[dict], str | None]:
-    """Serve recorded answers: Parquet files in the folder ``answers`` with ``partition``, ``page`` and the columns asked for.
-
-    The token is the number of the page; the next one is the next that the partition has.
-    """
-    import pyarrow.compute as pc
-    import pyarrow.dataset as ds
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(options["answers"])
-    table = ds.dataset(path, filesystem=system, format="parquet")
-    own = pc.field("partition") == partition
-    pages = sorted(set(table.to_table(columns=["page"], filter=own)["page"].to_pylist()))
-    later = [p for p in pages if p >= int(token or 0)]
-    if not later:
-        return [], None
-    rows = table.to_table(filter=own & (pc.field("page") == later[0])).to_pylist()
-    return rows, str(later[1]) if len(later) > 1 else None
