@@ -20,8 +20,9 @@ order, and the chunks of those accepted are appended. A batch overwrites its own
 reads those before it, so a batch that is tried again gives the same store.
 
 Nothing is capped. A record leaves out its commonest chunks only if they are hot (more than ``HOT``
-holders) and only as many of them as a linked pair can do without: whoever reaches the threshold
-shares one of the rest. A pair that needs those left out is counted on the chunks of both records.
+holders), and against a partner only as many of them as a linked pair of their sizes can do without:
+whoever reaches the threshold shares one of the rest. A pair that needs those left out is counted on
+the chunks of both records.
 Chunks of very many holders are spread over several keys, so no task gets all rows of a stock chunk.
 
 A linked pair is lost only if it shares fewer chunks than ``LOSS`` allows: once in a million at
@@ -59,6 +60,11 @@ def step_of(windows: int) -> int:
     return 1 if windows < 2 * CHUNKS else 1 << int(math.log2(windows / CHUNKS))
 
 
+def step_sql(windows: str) -> str:
+    """Return ``step_of`` as SQL."""
+    return f"if({windows} < {2 * CHUNKS}, 1, cast(pow(2, floor(log2({windows} / {CHUNKS}))) as int))"
+
+
 def chunk(grams: np.ndarray, ends: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Return the distinct chunks of a text, their bytes, and whether they also open one at twice the step.
 
@@ -294,50 +300,58 @@ class History:
         """Return the pairs (``a`` < ``b``), ``b`` of the batch, whose common chunks cover enough of ``b``."""
         t = self.threshold
         table = needed(t)
-        own = classes.select(F.col("id").alias("b"), F.col("windows").alias("windows_b"), "step", "fine", "rough", "total")
+        common = f"{t / (1 + t)} * (windows_a + windows_b)"
+        place = f"cast(greatest(0, least({SHARES - 1}, floor(({common} / windows_b - {t}) / {1 - t} * {SHARES} + 1e-9))) as int)"
+        coarser = f"{step_sql('windows_a')} > {step_sql('windows_b')}"
+        alike = f"least(windows_a, windows_b) >= {t - 1e-9} * greatest(windows_a, windows_b)"
+        # The commoner a chunk is among those of its record, the fewer partners need it: only those that may
+        # share as few chunks as its rank, so of a place in the table up to ``upto``.
         by_heat = Window.partitionBy("id").orderBy(F.desc("holders"), "chunk")
-        # A text of a greater step is longer, so that it shares at least 2t / (1 + t) of the windows of ``b``.
-        longer = int((2 * t / (1 + t) - t) / (1 - t) * SHARES + 1e-9)
-        least = f"if(step = 1, ceil({t} * fine - 1e-9), {table}[0][least(fine, {MOST})])"
+        upto = f"aggregate({table}, -1, (n, x) -> n + if(x[least(%s, {MOST})] <= %s, 1, 0))"
         hot = (
             rows.filter(F.col("holders") > HOT)
-            .join(classes.select("id", "step", "fine", "rough"), "id")
+            .join(classes.select("id", "fine", "rough"), "id")
             .withColumn("rank", F.row_number().over(by_heat))
             .withColumn("coarse_rank", F.count(F.when(F.col("coarse"), 1)).over(by_heat))
-            .withColumn("left_out", F.expr(f"rank < {least} and (not coarse or coarse_rank < {table}[{longer}][least(rough, {MOST})])"))
+            .withColumn("upto", F.expr(upto % ("fine", "rank")))
+            .withColumn("coarse_upto", F.expr(f"if(coarse, {upto % ('rough', 'coarse_rank')}, -1)"))
         )
-        asked = rows.filter((F.col("holders") > 1) & (F.col("holders") <= HOT)).unionByName(
-            hot.filter(~F.col("left_out")).select(rows.columns)
-        ).select("chunk", F.col("id").alias("b"), "size", F.col("windows").alias("windows_b"), "before", "holders")
-        out = hot.filter("left_out").groupBy(F.col("id").alias("b")).agg(
-            F.count("*").alias("out"), F.count(F.when(F.col("coarse"), 1)).alias("coarse_out"), F.sum("size").alias("bytes_out")
+        columns = ["chunk", F.col("id").alias("b"), "size", F.col("windows").alias("windows_b"), "before", "holders", "upto", "coarse_upto"]
+        always = F.lit(SHARES)
+        asked = (
+            rows.filter((F.col("holders") > 1) & (F.col("holders") <= HOT))
+            .withColumns({"upto": always, "coarse_upto": always})
+            .select(*columns)
+            .unionByName(hot.filter("upto >= 0 or coarse_upto >= 0").select(*columns))
         )
-        alike = f"least(windows_a, windows_b) >= {t - 1e-9} * greatest(windows_a, windows_b)"
+        heat = hot.groupBy(F.col("id").alias("b")).agg(F.count("*").alias("hot"), F.count(F.when(F.col("coarse"), 1)).alias("coarse_hot"))
 
         def side(df: DataFrame, by: str) -> DataFrame:
             return df.select(by, F.col("id").alias("a"), F.col("windows").alias("windows_a"))
 
-        pair = ["a", "b", "windows_a", "size"]
+        def met(df: DataFrame) -> DataFrame:
+            return df.filter(f"{alike} and {place} <= if({coarser}, coarse_upto, upto)").select("a", "b", "windows_a", "size")
+
         parts = F.explode(F.sequence(F.lit(0), keys(F.col("before")) - 1)).alias("part")
-        probes = asked.filter("before > 0").select("*", parts).select(key(F.col("chunk"), F.col("part")).alias("key"), "b", "size", "windows_b")
-        old = side(self.stored("chunks", batch), "key").join(probes.hint("shuffle_hash"), "key").filter(alike).select(*pair)
+        probes = asked.filter("before > 0").select("*", parts).select(
+            key(F.col("chunk"), F.col("part")).alias("key"), "b", "size", "windows_b", "upto", "coarse_upto"
+        )
+        old = met(side(self.stored("chunks", batch), "key").join(probes.hint("shuffle_hash"), "key"))
         several = F.col("holders") > F.col("before") + 1
-        new = asked.filter(several).select("chunk", "b", "size", "windows_b").join(side(rows.filter(several), "chunk").hint("merge"), "chunk")
-        totals = old.unionByName(new.filter("a < b").filter(alike).select(*pair)).groupBy("a", "b").agg(
+        fresh = asked.filter(several).drop("before", "holders").join(side(rows.filter(several), "chunk").hint("merge"), "chunk")
+        # One shuffle, by ``b``, serves the totals and what is joined to them.
+        totals = old.unionByName(met(fresh.filter("a < b"))).repartition("b").groupBy("a", "b").agg(
             F.count("*").alias("shared"), F.sum("size").alias("bytes"), F.first("windows_a").alias("windows_a")
         )
-        common = f"{t / (1 + t)} * (windows_a + windows_b)"
-        place = f"cast(greatest(0, least({SHARES - 1}, floor(({common} / windows_b - {t}) / {1 - t} * {SHARES} + 1e-9))) as int)"
-        step_a = f"if(windows_a < {2 * CHUNKS}, 1, cast(pow(2, floor(log2(windows_a / {CHUNKS}))) as int))"
+        own = classes.select(F.col("id").alias("b"), F.col("windows").alias("windows_b"), "fine", "rough", "total")
         covered = written(
             totals.join(own, "b")
-            .join(out, "b", "left")
-            .withColumn("coarser", F.expr(f"{step_a} > step"))
+            .join(heat, "b", "left")
             .withColumn("least", F.expr(
-                f"if(windows_a < {2 * CHUNKS} and step = 1, ceil({common} - 1e-9), {table}[{place}][least(if(coarser, rough, fine), {MOST})])"
+                f"if(windows_a < {2 * CHUNKS} and windows_b < {2 * CHUNKS}, ceil({common} - 1e-9), {table}[{place}][least(if({coarser}, rough, fine), {MOST})])"
             ))
-            .withColumn("most", F.expr("shared + coalesce(if(coarser, coarse_out, out), 0)"))
-            .filter(f"most >= least and bytes + coalesce(bytes_out, 0) >= {COVERAGE} * total")
+            .withColumn("heat", F.expr(f"coalesce(if({coarser}, coarse_hot, hot), 0)"))
+            .filter(f"shared + least(heat, least - 1) >= least and (heat > 0 or bytes >= {COVERAGE} * total)")
             .select("a", "b", "least", (F.col("shared") >= F.col("least")).alias("sure")),
             "p5-covered",
         )
