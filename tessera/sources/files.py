@@ -33,16 +33,37 @@ def dataset_fields(df: DataFrame) -> DataFrame:
 def read_corpora(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Read JSON arrays of strings, a file or a folder of them, as (``dataset``, ``idx``, ``text``).
 
-    Positions are kept. Elements that are null become null; a file that is no array
+    Positions are kept. Elements that are not strings become null; a file that is no array
     gives no rows. Below a folder ``dataset=NAME`` a file belongs to the data set of that name.
     """
+    rows = _lists(spark, path, glob).select("dataset", F.posexplode("list").alias("idx", "element"))
+    return rows.select("dataset", "idx", _string("element").alias("text"))
+
+
+def _lists(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Return (``dataset``, ``list``) of each file: its elements as variants, or null if it is no list."""
     files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
     folder = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/dataset=([^/]+)/[^/]*$", 1), F.lit(""))
-    rows = files.select(
-        F.coalesce(folder, dataset_name(F.col("_metadata.file_name"))).alias("dataset"),
-        F.posexplode(F.from_json("value", "array<string>", {"mode": "PERMISSIVE"})).alias("idx", "text"),
+    name = F.coalesce(folder, dataset_name(F.col("_metadata.file_name")))
+    return files.select(name.alias("dataset"), F.from_json("value", "array<variant>", {"mode": "PERMISSIVE"}).alias("list"))
+
+
+def _string(element: str) -> F.Column:
+    return F.when(F.schema_of_variant(element) == "STRING", F.try_variant_get(element, "$", "string"))
+
+
+def preview_corpora(spark: SparkSession, path: str, n: int = 10, glob: str = "*.json") -> DataFrame:
+    """Return the first ``n`` elements of each list as (``dataset``, ``idx``, ``text``, ``length``, ``error``).
+
+    ``error`` names the type of an element that is no string, and is "no list" for a file that is none.
+    """
+    rows = _lists(spark, path, glob).select(
+        "dataset", F.col("list").isNull().alias("broken"), F.posexplode_outer(F.slice("list", 1, n)).alias("idx", "element")
     )
-    return rows
+    kind = F.schema_of_variant("element")
+    error = F.when(F.col("broken"), "no list").when(F.col("idx").isNotNull() & F.coalesce(kind != "STRING", F.lit(True)), F.coalesce(kind, F.lit("VOID")))
+    text = _string("element")
+    return rows.filter("broken or idx is not null").select("dataset", "idx", text.alias("text"), F.length(text).alias("length"), error.alias("error"))
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import files, sinks, web
-from tessera.streaming.collect import collect_until, distinct_stream, run_to_table
+from tessera.streaming.collect import Progress, collect_until, distinct_stream, run_to_table
 
 
 def test_corpora(spark, tmp_path):
@@ -21,6 +21,18 @@ def test_corpora(spark, tmp_path):
     assert (named["site"], named["variant"], str(named["start_date"])) == ("site", "a_b", "2025-01-01")
 
 
+def test_preview_reports_types(spark, tmp_path):
+    (tmp_path / "a.json").write_text('["x", 5, null, {"k": 1}, "long"]')
+    (tmp_path / "b.json").write_text('{"no": "list"}')
+    (tmp_path / "c.json").write_text("[broken")
+    rows = {(r["dataset"], r["idx"]): (r["text"], r["length"], r["error"]) for r in files.preview_corpora(spark, str(tmp_path), 4).collect()}
+    assert rows["a", 0] == ("x", 1, None)
+    assert rows["a", 1][0] is None and rows["a", 1][2] == "BIGINT"
+    assert rows["a", 2][2] == "VOID" and rows["a", 3][2].startswith("OBJECT") and ("a", 4) not in rows
+    assert rows["b", None][2] == rows["c", None][2] == "no list"
+    assert [r["text"] for r in files.read_corpora(spark, str(tmp_path)).orderBy("idx").collect()] == ["x", None, None, None, "long"]
+
+
 def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("d", i, t) for i, t in enumerate(["b", 'q"\n', "é😀"])], "dataset string, idx int, text string")
     sinks.export_corpora(df, str(tmp_path / "out"))
@@ -89,6 +101,14 @@ def test_streams(spark, tmp_path):
     df.repartition(5).write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert run_to_table(distinct_stream(read(), "text"), "t").count() == 7
+    seen = Progress()
+    spark.streams.addListener(seen)
+    where = str(tmp_path / "kept")
+    first = run_to_table(distinct_stream(read(), "text"), "t", 3, where)
+    assert first.count() == 3
+    assert run_to_table(distinct_stream(read(), "text"), "t", 3, where).exceptAll(first).count() == 0
+    spark.streams.removeListener(seen)
+    assert sum(seen.rows) > 0
     some = collect_until(read(), "text", 3, 8, 4, F.upper)
     assert some.count() == 4
     assert all(r["text"].startswith("TEXT ") and len(r["text"]) == 8 for r in some.select("text").collect())
