@@ -179,10 +179,13 @@ class Scorer(Protocol):
 
 
 class UniformBytes:
-    """Every byte is as likely as any other."""
+    """Every byte is as likely as any other; arguments are taken and change nothing."""
 
     parameters, vocabulary, bos, pad, eos = 0.0, 256, [256], 256, None
 
+    def __init__(self, **_: object) -> None:
+        """Need nothing."""
+
     def encode(self, text: str) -> list[int]:
         """Return the UTF-8 bytes."""
         return list(text.encode("utf-8"))
@@ -198,6 +201,7 @@ class RepeatBytes(UniformBytes):
     parameters = 2e-9
 
     def __init__(self, space: float = 3.0, same: float = 1.0) -> None:
+        """Take the logits of a space and of the last byte."""
         self.space, self.same = space, same
 
     def logits(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:

@@ -90,6 +90,9 @@ def test_evaluate(spark):
     bpb = row["neg_log_prob_sum"] / row["avg bytes"] / math.log(2)
     assert row["compression_rate"] == pytest.approx(bpb * 12.5)
     assert S.evaluate(df.limit(0), S.EvaluationConfig("m", "d")).count() == 0
+    plain, flat = (S.EvaluationConfig("m", "d", "repeat", model_args=x) for x in ({}, {"space": 0.0, "same": 0.0}))
+    assert S.evaluate(df, flat).first()["neg_log_prob_sum"] == pytest.approx(row["neg_log_prob_sum"], rel=0.5)
+    assert S.evaluate(df, plain).first()["neg_log_prob_sum"] != S.evaluate(df, flat).first()["neg_log_prob_sum"]
 
 
 def test_configuration():
