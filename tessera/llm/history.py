@@ -60,11 +60,6 @@ def step_of(windows: int) -> int:
     return 1 if windows < 2 * CHUNKS else 1 << int(math.log2(windows / CHUNKS))
 
 
-def step_sql(windows: str) -> str:
-    """Return ``step_of`` as SQL."""
-    return f"if({windows} < {2 * CHUNKS}, 1, cast(pow(2, floor(log2({windows} / {CHUNKS}))) as int))"
-
-
 def chunk(grams: np.ndarray, ends: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Return the distinct chunks of a text, their bytes, and whether they also open one at twice the step.
 
@@ -93,10 +88,10 @@ def least_shared(chunks: int, share: float) -> int:
 
 @lru_cache(maxsize=4)
 def needed(threshold: float) -> str:
-    """Return ``least_shared`` as SQL: an array by share, from the threshold to 1, of arrays by number of chunks."""
+    """Return ``least_shared`` as a constant in SQL: an array by share, from the threshold to 1, of arrays by number of chunks."""
     shares = [threshold + (1 - threshold) * i / SHARES for i in range(SHARES)]
     table = [[least_shared(k, share) for k in range(MOST + 1)] for share in shares]
-    return f"from_json('{table}', 'array<array<int>>')"
+    return f"array({', '.join(f'array({str(row)[1:-1]})' for row in table)})"
 
 
 CLASSES = (
@@ -302,8 +297,7 @@ class History:
         table = needed(t)
         common = f"{t / (1 + t)} * (windows_a + windows_b)"
         place = f"cast(greatest(0, least({SHARES - 1}, floor(({common} / windows_b - {t}) / {1 - t} * {SHARES} + 1e-9))) as int)"
-        coarser = f"{step_sql('windows_a')} > {step_sql('windows_b')}"
-        alike = f"least(windows_a, windows_b) >= {t - 1e-9} * greatest(windows_a, windows_b)"
+        coarser = f"windows_a >= if(windows_b < {2 * CHUNKS}, {2 * CHUNKS}, 2 * {CHUNKS} * pow(2, floor(log2(windows_b / {CHUNKS}))))"
         # The commoner a chunk is among those of its record, the fewer partners need it: only those that may
         # share as few chunks as its rank, so of a place in the table up to ``upto``.
         by_heat = Window.partitionBy("id").orderBy(F.desc("holders"), "chunk")
@@ -316,7 +310,15 @@ class History:
             .withColumn("upto", F.expr(upto % ("fine", "rank")))
             .withColumn("coarse_upto", F.expr(f"if(coarse, {upto % ('rough', 'coarse_rank')}, -1)"))
         )
-        columns = ["chunk", F.col("id").alias("b"), "size", F.col("windows").alias("windows_b"), "before", "holders", "upto", "coarse_upto"]
+        # In terms of the partner's windows, so that a joined row is only compared: from ``low`` on, below ``most``, or below
+        # ``coarse_most`` from ``coarse`` on, where the partner's step is the greater one.
+        below = f"if(%s >= {SHARES - 1}, 2147483647, windows * (({t} + {1 - t} * (%s + 1 - 1e-9) / {SHARES}) * {(1 + t) / t} - 1))"
+        columns = [
+            "chunk", F.col("id").alias("b"), "size", "before", "holders", F.expr(f"{t - 1e-9} * windows").alias("low"),
+            F.expr(coarser.removeprefix("windows_a >= ").replace("windows_b", "windows")).alias("coarse_from"),
+            F.expr(f"least(windows / {t - 1e-9}, {below % ('upto', 'upto')})").alias("most"),
+            F.expr(f"least(windows / {t - 1e-9}, {below % ('coarse_upto', 'coarse_upto')})").alias("coarse_most"),
+        ]
         always = F.lit(SHARES)
         asked = (
             rows.filter((F.col("holders") > 1) & (F.col("holders") <= HOT))
@@ -330,12 +332,11 @@ class History:
             return df.select(by, F.col("id").alias("a"), F.col("windows").alias("windows_a"))
 
         def met(df: DataFrame) -> DataFrame:
-            return df.filter(f"{alike} and {place} <= if({coarser}, coarse_upto, upto)").select("a", "b", "windows_a", "size")
+            return df.filter("windows_a >= low and windows_a <= if(windows_a >= coarse_from, coarse_most, most)").select("a", "b", "windows_a", "size")
 
         parts = F.explode(F.sequence(F.lit(0), keys(F.col("before")) - 1)).alias("part")
-        probes = asked.filter("before > 0").select("*", parts).select(
-            key(F.col("chunk"), F.col("part")).alias("key"), "b", "size", "windows_b", "upto", "coarse_upto"
-        )
+        bounds = ["low", "coarse_from", "most", "coarse_most"]
+        probes = asked.filter("before > 0").select("*", parts).select(key(F.col("chunk"), F.col("part")).alias("key"), "b", "size", *bounds)
         old = met(side(self.stored("chunks", batch), "key").join(probes.hint("shuffle_hash"), "key"))
         several = F.col("holders") > F.col("before") + 1
         fresh = asked.filter(several).drop("before", "holders").join(side(rows.filter(several), "chunk").hint("merge"), "chunk")
