@@ -11,7 +11,7 @@ The history is a store of three tables, bucketed by key and partitioned by batch
 
 * ``chunks``: which accepted records hold a chunk, and how many bytes of each it covers;
 * ``holders``: how many records of each batch hold it, so that counts are added to, not recounted;
-* ``records``: the chunks of each record.
+* ``records``: the chunks of each record, by 16 bits each.
 
 A batch is chunked alone. Only the batch is shuffled: the store is read in its buckets, streamed
 past the batch's chunks, and only rows of a chunk that the batch holds go on. Their bytes and numbers
@@ -163,6 +163,10 @@ def chunk_rows(records: DataFrame) -> DataFrame:
     )
 
 
+#: Sixteen bits of each chunk of a record.
+PRINTS = "transform(chunks, c -> cast((c & 65535) - 32768 as smallint))"
+
+
 def keys(holders: Column) -> Column:
     """Return over how many keys the rows of a chunk of so many holders are spread."""
     return (F.lit(1) + F.floor(holders / SPLIT)).cast("int")
@@ -186,7 +190,7 @@ class History:
     TABLES = {
         "chunks": ("key", "key long, id long, size int, windows int"),
         "holders": ("chunk", "chunk long, n long"),
-        "records": ("id", "id long, windows int, chunks array<long>"),
+        "records": ("id", "id long, prints array<smallint>"),
     }
 
     def __init__(self, spark: SparkSession, path: str, shingle: int = 5, threshold: float = 0.8, buckets: int | None = None) -> None:
@@ -230,7 +234,7 @@ class History:
         """Add records to the store; ``rows`` has their chunks with ``before``, the holders so far."""
         part = F.pmod(F.xxhash64("id"), keys(F.col("before"))).cast("int")
         self._store("chunks", rows.withColumn("key", key(F.col("chunk"), part)), batch)
-        self._store("records", classes, batch)
+        self._store("records", classes.withColumn("prints", F.expr(PRINTS)), batch)
 
     def _classes(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Return the first record of each class, and (``id``, ``class_id``) of all records."""
@@ -356,12 +360,13 @@ class History:
             .select("a", "b", "least", (F.col("shared") >= F.col("least")).alias("sure")),
             "p5-covered",
         )
-        chunks = lambda df, x: df.select(F.col("id").alias(x), F.col("chunks").alias(f"chunks_{x}"))
-        open_ = covered.filter("not sure").join(chunks(classes, "b"), "b")
-        exact = F.size(F.array_intersect("chunks_a", "chunks_b")) >= F.col("least")
-        held = chunks(self.stored("records", batch), "a").join(open_, "a").filter(exact).select("a", "b")
-        fresh = open_.join(chunks(classes, "a"), "a").filter(exact).select("a", "b")
-        return covered.filter("sure").select("a", "b").unionByName(held).unionByName(fresh)
+        # At most as many chunks are common as have common prints, and those of ``b`` that have one print among them.
+        open_ = covered.filter("not sure").join(classes.select(F.col("id").alias("b"), F.expr(PRINTS).alias("prints_b")), "b")
+        enough = F.expr("size(array_intersect(prints_a, prints_b)) + size(prints_b) - size(array_distinct(prints_b)) >= least")
+        stored = self.stored("records", batch).select(F.col("id").alias("a"), F.col("prints").alias("prints_a"))
+        in_batch = classes.select(F.col("id").alias("a"), F.expr(PRINTS).alias("prints_a"))
+        parts = [df.join(open_, "a").filter(enough).select("a", "b") for df in (stored, in_batch)]
+        return covered.filter("sure").select("a", "b").unionByName(parts[0]).unionByName(parts[1])
 
     def _decide(self, links: DataFrame, batch: DataFrame) -> DataFrame:
         """Return (``id``, ``least``) for the classes of the batch; ``least`` is null if accepted.
