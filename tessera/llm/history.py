@@ -2,8 +2,8 @@
 
 A rolling hash over the words of a text opens a chunk wherever it falls on a multiple of the
 text's step, and a chunk is known by the window that opens it. An edit inside a chunk therefore
-leaves the chunk known: two texts of similarity J share a share of chunks that is J on average,
-not the few chunks without any edit. The step is a power of two that gives a text 24 to 48 chunks;
+leaves the chunk known: the chunks of two texts are as similar as the texts on average, while few
+chunks are without any edit. The step is a power of two that gives a text 24 to 48 chunks;
 a text of fewer than 48 windows has a chunk at each of them, so short texts are compared
 exactly. Texts of neighbouring steps meet on the chunks of the greater step.
 
@@ -13,8 +13,8 @@ The history is a store of three tables, bucketed by key and partitioned by batch
 * ``holders``: how many records of each batch hold it, so that counts are added to, not recounted;
 * ``records``: the chunks of each record, by 16 bits each.
 
-A batch is chunked alone. Only the batch is shuffled: the store is read in its buckets, streamed
-past the batch's chunks, and only rows of a chunk that the batch holds go on. Their bytes and numbers
+A batch is chunked alone. The store is not shuffled: it is read in its buckets and streamed past
+the batch's chunks, and only rows of a chunk that the batch holds go on. Their bytes and numbers
 are totalled by pair; pairs of enough coverage are compared on their texts, records are decided in
 order, and the chunks of those accepted are appended. A batch overwrites its own partition and
 reads those before it, so a batch that is tried again gives the same store.
@@ -94,6 +94,12 @@ def needed(threshold: float) -> str:
     return f"array({', '.join(f'array({str(row)[1:-1]})' for row in table)})"
 
 
+def places_below(threshold: float, chunks: str, rank: str) -> str:
+    """Return in SQL the last place of ``needed`` that asks for no more chunks than ``rank``, -1 if there is none."""
+    rows = needed(threshold)[6:-1].replace("), ", ")\n").split("\n")
+    return " + ".join(f"if({row}[least({chunks}, {MOST})] <= {rank}, 1, 0)" for row in rows) + " - 1"
+
+
 CLASSES = (
     "id long, same_a long, same_b long, windows int, total int, step int, fine int, rough int,"
     " chunks array<long>, sizes array<int>, coarse array<boolean>"
@@ -271,7 +277,7 @@ class History:
         classes, members = self._classes(texts)
         rows = written(self._counted(classes, batch), "p5-rows")
         pairs = written(self._candidates(rows, classes, batch), "p5-pairs")
-        links = written(verified(pairs, corpus, self.shingle, self.threshold), "p5-links")
+        links = written(verified(pairs, corpus, self.shingle, self.threshold, texts), "p5-links")
         decided = written(self._decide(links, members.filter("id = class_id").select("id")), "p5-decided")
         accepted = decided.filter("least is null").select("id")
         kept = rows.join(accepted, "id", "left_semi")
@@ -305,14 +311,13 @@ class History:
         # The commoner a chunk is among those of its record, the fewer partners need it: only those that may
         # share as few chunks as its rank, so of a place in the table up to ``upto``.
         by_heat = Window.partitionBy("id").orderBy(F.desc("holders"), "chunk")
-        upto = f"aggregate({table}, -1, (n, x) -> n + if(x[least(%s, {MOST})] <= %s, 1, 0))"
         hot = (
             rows.filter(F.col("holders") > HOT)
             .join(classes.select("id", "fine", "rough"), "id")
             .withColumn("rank", F.row_number().over(by_heat))
             .withColumn("coarse_rank", F.count(F.when(F.col("coarse"), 1)).over(by_heat))
-            .withColumn("upto", F.expr(upto % ("fine", "rank")))
-            .withColumn("coarse_upto", F.expr(f"if(coarse, {upto % ('rough', 'coarse_rank')}, -1)"))
+            .withColumn("upto", F.expr(places_below(t, "fine", "rank")))
+            .withColumn("coarse_upto", F.expr(f"if(coarse, {places_below(t, 'rough', 'coarse_rank')}, -1)"))
         )
         # In terms of the partner's windows, so that a joined row is only compared: from ``low`` on, below ``most``, or below
         # ``coarse_most`` from ``coarse`` on, where the partner's step is the greater one.
@@ -348,14 +353,17 @@ class History:
         totals = old.unionByName(met(fresh.filter("a < b"))).repartition("b").groupBy("a", "b").agg(
             F.count("*").alias("shared"), F.sum("size").alias("bytes"), F.first("windows_a").alias("windows_a")
         )
-        own = classes.select(F.col("id").alias("b"), F.col("windows").alias("windows_b"), "fine", "rough", "total")
+        own = classes.select(
+            F.col("id").alias("b"), F.col("windows").alias("windows_b"), "fine", "rough", "total",
+            F.expr(coarser.removeprefix("windows_a >= ").replace("windows_b", "windows")).alias("coarse_from"),
+        )
         covered = written(
             totals.join(own, "b")
             .join(heat, "b", "left")
             .withColumn("least", F.expr(
-                f"if(windows_a < {2 * CHUNKS} and windows_b < {2 * CHUNKS}, ceil({common} - 1e-9), {table}[{place}][least(if({coarser}, rough, fine), {MOST})])"
+                f"if(windows_a < {2 * CHUNKS} and windows_b < {2 * CHUNKS}, ceil({common} - 1e-9), {table}[{place}][least(if(windows_a >= coarse_from, rough, fine), {MOST})])"
             ))
-            .withColumn("heat", F.expr(f"coalesce(if({coarser}, coarse_hot, hot), 0)"))
+            .withColumn("heat", F.expr(f"coalesce(if(windows_a >= coarse_from, coarse_hot, hot), 0)"))
             .filter(f"shared + least(heat, least - 1) >= least and (heat > 0 or bytes >= {COVERAGE} * total)")
             .select("a", "b", "least", (F.col("shared") >= F.col("least")).alias("sure")),
             "p5-covered",

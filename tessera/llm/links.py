@@ -33,17 +33,17 @@ def _only(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return held.filter(F.call_function("shiftright", F.col("_bits"), F.col("_place")).bitwiseAND(F.lit(1)) == 1).drop("_word", "_place", "_bits")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float, later: DataFrame | None = None) -> DataFrame:
     """Keep the pairs (``a``, ``b``) whose texts reach ``threshold``.
 
-    ``texts`` has ``id`` and ``text``; similarity is that of the sets of runs of ``shingle``
+    ``texts`` has ``id`` and ``text``, and so has ``later``, if all texts of ``b`` are there; similarity is that of the sets of runs of ``shingle``
     words. Both texts of a pair meet by two sorted joins, which spill; rows arrive sorted by
     ``a``, so the set of ``a`` is made once for all its partners and nothing but one set is held.
     ``pairs`` is read twice, so it should be a written table.
     """
-    texts = _only(texts.select("id", "text"), pairs)
+    texts, later = (_only(x.select("id", "text"), pairs) for x in (texts, texts if later is None else later))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    right = later.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = (
         pairs.select("a", "b")
         .join(right.hint("merge"), "b")
