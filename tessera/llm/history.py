@@ -7,26 +7,24 @@ chunks are without any edit. The step is a power of two that gives a text 24 to
 a text of fewer than 48 windows has a chunk at each of them, so short texts are compared
 exactly. Texts of neighbouring steps meet on the chunks of the greater step.
 
-The history is a store of three tables, bucketed by key and partitioned by batch:
-
-* ``chunks``: which accepted records hold a chunk, and how many bytes of each it covers;
-* ``holders``: how many records of each batch hold it, so that counts are added to, not recounted;
-* ``records``: the chunks of each record, by 16 bits each.
+The history is a store, bucketed by chunk and partitioned by batch: which accepted records hold a
+chunk, and which partners it serves. How common a chunk is counts as of the start: a
+table of ``SLOTS`` bytes has four steps for each doubling, and chunks that share a slot count as equally common. It
+never changes, so the places of chunks in old and new records are comparable; a chunk that turns common
+later costs time, and no row.
 
 A batch is chunked alone. The store is not shuffled: it is read in its buckets and streamed past
-the batch's chunks, and only rows of a chunk that the batch holds go on. Their bytes and numbers
-are totalled by pair; pairs of enough coverage are compared on their texts, records are decided in
-order, and the chunks of those accepted are appended. A batch overwrites its own partition and
-reads those before it, so a batch that is tried again gives the same store.
-
-Nothing is capped. A record leaves out its commonest chunks only if they are hot (more than ``HOT``
-holders), and against a partner only as many of them as a linked pair of their sizes can do without:
-whoever reaches the threshold shares one of the rest. A pair that needs those left out is counted on
-the chunks of both records.
-Chunks of very many holders are spread over several keys, so no task gets all rows of a stock chunk.
-
-A linked pair is lost only if it shares fewer chunks than ``LOSS`` allows: once in a million at
-exactly the threshold. Ids must not fall from one batch to the next: order of arrival is order of id.
+the batch's chunks. Of the chunks that two records must share to reach the threshold, all but the
+rarest two may be left out on either side: a record is stored, and asked for, only by chunks of which one of
+these two may be, and a joined row counts only if it may be for both. Pairs that share two such chunks are
+compared on their texts, records are decided in order, and the chunks of those accepted are appended. A batch
+overwrites its own partition and reads those before it, so a batch that is tried again gives the same store.
+
+Nothing is capped. Chunks of very many holders are spread over several keys, so no task gets all rows
+of a stock chunk.
+
+A linked pair is lost only if it shares fewer chunks than ``LOSS`` allows: for either text once in two
+million at exactly the threshold. Ids must not fall from one batch to the next: order of arrival is order of id.
 """
 
 from __future__ import annotations
@@ -38,8 +36,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.links import verified
@@ -48,8 +47,8 @@ from tessera.plans.shared import discard, written
 
 #: Chunks of a text: at least so many on average. Holders beyond which a chunk is hot, and by key.
 CHUNKS, HOT, SPLIT = 24, 8, 100_000
-#: Probability that a pair at the threshold shares fewer chunks than asked for; least share of bytes.
-LOSS, COVERAGE = 1e-6, 0.05
+#: Probability that a pair at the threshold shares fewer chunks than one of its texts asks for. Slots of the order of chunks.
+LOSS, SLOTS = 5e-7, 1 << 22
 #: Size of the table of least numbers; beyond ``MOST`` chunks, fewer than could be are asked for.
 SHARES, MOST = 16, 256
 _LEVEL = np.uint64(40)
@@ -87,37 +86,38 @@ def least_shared(chunks: int, share: float) -> int:
 
 
 @lru_cache(maxsize=4)
-def needed(threshold: float) -> str:
-    """Return ``least_shared`` as a constant in SQL: an array by share, from the threshold to 1, of arrays by number of chunks."""
+def needed(threshold: float) -> np.ndarray:
+    """Return ``least_shared`` by share, from the threshold to 1, and by number of chunks."""
     shares = [threshold + (1 - threshold) * i / SHARES for i in range(SHARES)]
-    table = [[least_shared(k, share) for k in range(MOST + 1)] for share in shares]
-    return f"array({', '.join(f'array({str(row)[1:-1]})' for row in table)})"
+    return np.array([[least_shared(k, share) for k in range(MOST + 1)] for share in shares])
 
 
-def places_below(threshold: float, chunks: str, rank: str) -> str:
-    """Return in SQL the last place of ``needed`` that asks for no more chunks than ``rank``, -1 if there is none."""
-    rows = needed(threshold)[6:-1].replace("), ", ")\n").split("\n")
-    return " + ".join(f"if({row}[least({chunks}, {MOST})] <= {rank}, 1, 0)" for row in rows) + " - 1"
+def most_windows(threshold: float, windows: int, chunks: int, shared: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Return the windows up to which a partner needs no more than ``shared`` common chunks, 0 if none.
 
+    ``chunks`` is how many the text has at the step of the pair; with ``exact`` every window is one.
+    """
+    part = threshold / (1 + threshold)
+    if exact:
+        return np.minimum(shared / part - windows, windows / threshold) + 1e-6
+    places = np.searchsorted(needed(threshold)[:, min(chunks, MOST)], shared, "right")
+    below = windows * ((threshold + (1 - threshold) * places / SHARES) / part - 1)
+    return np.where(places == 0, 0, np.minimum(np.where(places == SHARES, np.inf, below), windows / threshold) + 1e-6)
 
-CLASSES = (
-    "id long, same_a long, same_b long, windows int, total int, step int, fine int, rough int,"
-    " chunks array<long>, sizes array<int>, coarse array<boolean>"
-)
 
+CLASSES = "id long, same_a long, same_b long, windows int, step int, chunks array<long>, coarse array<boolean>"
+ROWS = "chunk long, id long, windows int, coarse_from int, most int, coarse_most int, thin int, parts int"
 
-def chunked(texts: DataFrame, shingle: int) -> DataFrame:
-    """Return the class and the chunks of each text that has a window of ``shingle`` words.
 
-    ``fine`` is the number of its chunks, ``rough`` that of its chunks at twice the step.
-    """
+def chunked(texts: DataFrame, shingle: int) -> DataFrame:
+    """Return the class and the chunks of each text that has a window of ``shingle`` words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                rows, chunks, sizes, coarse = [], [], [], []
+                rows, chunks, coarse = [], [], []
                 for i, text, scope in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                     words = WORD.findall(text.as_py().lower())
                     grams = shingles(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), shingle)
@@ -127,7 +127,7 @@ def chunked(texts: DataFrame, shingle: int) -> DataFrame:
                     ends = np.cumsum(np.fromiter(map(len, bare), np.int64, len(words)))
                     distinct = np.unique(grams)
                     step = step_of(len(distinct))
-                    found, size, both = chunk(grams, ends, step)
+                    found, _, both = chunk(grams, ends, step)
                     salt = mix(np.array([scope], np.int64).view(np.uint64))[0]
                     rows.append(
                         (
@@ -135,24 +135,19 @@ def chunked(texts: DataFrame, shingle: int) -> DataFrame:
                             int((distinct.sum(dtype=np.uint64) ^ salt).view(np.int64)),
                             int((mix(distinct).sum(dtype=np.uint64) + np.uint64(len(distinct))).view(np.int64)),
                             len(distinct),
-                            int(ends[-1]),
                             step,
-                            len(found),
-                            int(both.sum()),
                         )
                     )
                     chunks.append(found ^ salt)
-                    sizes.append(size)
                     coarse.append(both)
                 if not rows:
                     continue
                 ends = pa.array(np.cumsum([0, *map(len, chunks)]).astype(np.int32))
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 5
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 2
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
                     + [
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(chunks).view(np.int64))),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sizes))),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(coarse))),
                     ],
                     [part.split()[0] for part in CLASSES.split(", ")],
@@ -161,21 +156,72 @@ def chunked(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("id", "text", "scope").filter("text is not null").mapInArrow(make, CLASSES)
 
 
-def chunk_rows(records: DataFrame) -> DataFrame:
-    """Return one row for each chunk of each record."""
-    zipped = F.explode(F.arrays_zip("chunks", "sizes", "coarse")).alias("c")
-    return records.select("id", "windows", zipped).select(
-        F.col("c.chunks").alias("chunk"), "id", F.col("c.sizes").alias("size"), "windows", F.col("c.coarse").alias("coarse")
-    )
+def ordered(counted: DataFrame) -> DataFrame:
+    """Return one row with a byte for each of ``SLOTS``: how common the commonest of its chunks is, 0 if none is hot.
 
+    A slot has four steps for each doubling of the holders (``chunk``, ``n``).
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.zeros(SLOTS, np.uint8)
+        for batch in batches:
+            slots = slots_of(batch.column(0).to_numpy())
+            np.maximum.at(order, slots, (4 * np.log2(batch.column(1).to_numpy())).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([order.tobytes()])], ["slots"])
 
-#: Sixteen bits of each chunk of a record.
-PRINTS = "transform(chunks, c -> cast((c & 65535) - 32768 as smallint))"
+    return counted.coalesce(1).mapInArrow(make, "slots binary")
 
 
-def keys(holders: Column) -> Column:
-    """Return over how many keys the rows of a chunk of so many holders are spread."""
-    return (F.lit(1) + F.floor(holders / SPLIT)).cast("int")
+def slots_of(chunks: np.ndarray) -> np.ndarray:
+    """Return the slot of each chunk in the order of the store."""
+    return (mix(chunks.view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def chunk_rows(records: DataFrame, slots: Broadcast, threshold: float) -> DataFrame:
+    """Return a row for each chunk by which a record may be found, with the windows of the partners it serves.
+
+    The place of a chunk is the number of chunks of its record that are as common or commoner. If two
+    records share k chunks, the second rarest of those is at least in place k - 1 of both, so a chunk in a place
+    serves only partners that need not share more than one chunk above it: up to ``most`` windows, and ``coarse_most`` from
+    ``coarse_from`` on, where the partner has the greater step. ``thin``: one chunk is enough for partners of the own
+    or a smaller step (1), of the greater one (2). ``parts`` is over how many keys the rows of the chunk are spread.
+    """
+    split = SPLIT
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.frombuffer(slots.value, np.uint8)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                out = []
+                chunks, coarse = (x.flatten().to_numpy(zero_copy_only=False) for x in batch.columns[3:])
+                levels = order[slots_of(chunks)]
+                ends = np.cumsum([0, *batch.column(3).value_lengths().to_pylist()])
+                for r, (i, windows, step) in enumerate(zip(*(x.to_pylist() for x in batch.columns[:3]))):
+                    own = slice(ends[r], ends[r + 1])
+                    by_heat = np.lexsort((chunks[own], -levels[own].astype(int)))
+                    found, both, level = chunks[own][by_heat], coarse[own][by_heat], levels[own][by_heat]
+                    places, coarse_places = np.arange(1, len(found) + 1), np.cumsum(both)
+                    coarse_from, rough = 2 * CHUNKS * step, int(both.sum())
+                    most = most_windows(threshold, windows, len(found), places + 1, windows < 2 * CHUNKS).astype(int)
+                    coarse_most = np.where(both, most_windows(threshold, windows, rough, coarse_places + 1), 0).astype(int)
+                    alone = [
+                        most_windows(threshold, windows, len(found), np.array([1]), windows < 2 * CHUNKS)[0] >= threshold * windows,
+                        most_windows(threshold, windows, rough, np.array([1]))[0] >= coarse_from,
+                    ]
+                    keep = (most >= threshold * windows - 1e-6) | (coarse_most >= coarse_from)
+                    parts = 1 + (np.exp2((level[keep] + 1) / 4) / split).astype(int)
+                    n = len(parts)
+                    constant = [np.full(n, x) for x in (i, windows, coarse_from, alone[0] + 2 * alone[1])]
+                    out.append([found[keep], *constant[:3], most[keep], coarse_most[keep], constant[3], parts])
+                if out:
+                    kinds = [pa.int64()] * 2 + [pa.int32()] * 6
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(x).astype(kind.to_pandas_dtype()), kind) for x, kind in zip(zip(*out), kinds)],
+                        [part.split()[0] for part in ROWS.split(", ")],
+                    )
+
+    return records.select("id", "windows", "step", "chunks", "coarse").mapInArrow(make, ROWS)
 
 
 def key(chunk: Column, part: Column) -> Column:
@@ -193,11 +239,7 @@ class History:
     the store is made (a thousand or more for a large history) and read back afterwards.
     """
 
-    TABLES = {
-        "chunks": ("key", "key long, id long, size int, windows int"),
-        "holders": ("chunk", "chunk long, n long"),
-        "records": ("id", "id long, prints array<smallint>"),
-    }
+    TABLES = {"chunks": ("key", "key long, id long, windows int, coarse_from int, most int, coarse_most int, thin int")}
 
     def __init__(self, spark: SparkSession, path: str, shingle: int = 5, threshold: float = 0.8, buckets: int | None = None) -> None:
         self.spark, self.path, self.shingle, self.threshold = spark, path, shingle, threshold
@@ -208,6 +250,7 @@ class History:
             made = False
             self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             spark.range(1, numPartitions=1).select(F.lit(self.buckets).alias("buckets")).write.json(settings)
+        self.slots: Broadcast | None = None
         self.prefix = f"history_{hashlib.md5(path.encode()).hexdigest()[:16]}"
         for name, (by, columns) in self.TABLES.items():
             spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
@@ -226,45 +269,37 @@ class History:
         """Return a table of the store as it was before a batch."""
         return self.spark.table(f"{self.prefix}_{name}").filter(F.col("batch") < before)
 
-    def _store(self, name: str, rows: DataFrame, batch: int, placed: bool = False) -> None:
-        """Write the part of a table that a batch adds, one file for each bucket; ``placed`` rows lie by bucket already."""
-        by, columns = self.TABLES[name]
-        names = [part.split()[0] for part in columns.split(", ")]
-        rows = rows.select(*names)
-        (rows if placed else rows.repartition(self.buckets, by)).createOrReplaceTempView("history_rows")
-        self.spark.sql(
-            f"INSERT OVERWRITE TABLE {self.prefix}_{name} PARTITION (batch = {int(batch)}) SELECT {', '.join(names)} FROM history_rows"
-        )
-
-    def _append(self, rows: DataFrame, classes: DataFrame, batch: int) -> None:
-        """Add records to the store; ``rows`` has their chunks with ``before``, the holders so far."""
-        part = F.pmod(F.xxhash64("id"), keys(F.col("before"))).cast("int")
-        self._store("chunks", rows.withColumn("key", key(F.col("chunk"), part)), batch)
-        self._store("records", classes.withColumn("prints", F.expr(PRINTS)), batch)
-
-    def _classes(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Return the first record of each class, and (``id``, ``class_id``) of all records."""
-        made = written(chunked(texts, self.shingle), "p5-chunked")
+    def _append(self, rows: DataFrame, batch: int) -> None:
+        """Write the chunks that a batch adds to the store, one file for each bucket."""
+        by, columns = self.TABLES["chunks"]
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        rows = rows.withColumn("key", key(F.col("chunk"), part)).select(*(part.split()[0] for part in columns.split(", ")))
+        rows.repartition(self.buckets, by).createOrReplaceTempView("history_rows")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.prefix}_chunks PARTITION (batch = {int(batch)}) SELECT * FROM history_rows")
+
+    def _slots(self) -> Broadcast:
+        """Return the order of chunks that was fixed at the start of the store."""
+        if self.slots is None:
+            try:
+                row = self.spark.read.schema("slots binary").parquet(f"{self.path}/order").first()
+            except AnalysisException:
+                row = None
+            self.slots = self.spark.sparkContext.broadcast(row[0] if row else bytes(SLOTS))
+        return self.slots
+
+    def _members(self, made: DataFrame) -> DataFrame:
+        """Return (``id``, ``class_id``) of all records; a class is known by its first record."""
         first = made.groupBy("same_a", "same_b").agg(F.min("id").alias("class_id"))
-        members = written(
-            made.select("id", "same_a", "same_b").join(first, ["same_a", "same_b"]).select("id", "class_id"),
-            "p5-members",
-        )
-        classes = written(made.join(members.filter("id = class_id").select("id"), "id", "left_semi").drop("same_a", "same_b"), "p5-classes")
-        discard(made)
-        return classes, members
+        return made.select("id", "same_a", "same_b").join(first, ["same_a", "same_b"]).select("id", "class_id")
 
     def start(self, texts: DataFrame, batch: int = 0) -> None:
         """Accept all of ``texts`` (``id``, ``text``, ``scope``) as the history, its batch ``batch``."""
-        classes = self._classes(texts)[0]
-        rows = chunk_rows(classes)
-        self._store("holders", rows.groupBy("chunk").agg(F.count("*").alias("n")), batch, placed=True)
-        many = self.stored("holders", batch + 1).filter(F.col("n") >= SPLIT).select("chunk", F.col("n").alias("before"))
-        if many.isEmpty():
-            counted = rows.withColumn("before", F.lit(0))
-        else:
-            counted = rows.join(many, "chunk", "left").withColumn("before", F.coalesce("before", F.lit(0)))
-        self._append(counted, classes, batch)
+        made = written(chunked(texts, self.shingle), "p5-chunked")
+        counted = made.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
+        ordered(counted.filter(F.col("n") > HOT)).write.mode("overwrite").parquet(f"{self.path}/order")
+        first = made.groupBy("same_a", "same_b").agg(F.min("id").alias("id")).select("id")
+        self._append(chunk_rows(made.join(first, "id", "left_semi"), self._slots(), self.threshold), batch)
+        discard(made)
 
     def check(self, texts: DataFrame, corpus: DataFrame, batch: int) -> DataFrame:
         """Decide the records of a batch; return (``id_a``, ``id_b``) for each one rejected.
@@ -274,107 +309,43 @@ class History:
         this batch and of the history; only those of candidates leave its scan. Batches are
         checked in order of their number.
         """
-        classes, members = self._classes(texts)
-        rows = written(self._counted(classes, batch), "p5-rows")
-        pairs = written(self._candidates(rows, classes, batch), "p5-pairs")
+        made = written(chunked(texts, self.shingle), "p5-chunked")
+        members = written(self._members(made), "p5-members")
+        classes = members.filter("id = class_id").select("id")
+        rows = written(chunk_rows(made.join(classes, "id", "left_semi"), self._slots(), self.threshold), "p5-rows")
+        discard(made)
+        pairs = written(self._candidates(rows, batch), "p5-pairs")
         links = written(verified(pairs, corpus, self.shingle, self.threshold, texts), "p5-links")
-        decided = written(self._decide(links, members.filter("id = class_id").select("id")), "p5-decided")
-        accepted = decided.filter("least is null").select("id")
-        kept = rows.join(accepted, "id", "left_semi")
-        self._store("holders", kept.groupBy("chunk").agg(F.count("*").alias("n")), batch, placed=True)
-        self._append(kept, classes.join(accepted, "id", "left_semi"), batch)
+        decided = written(self._decide(links, classes), "p5-decided")
+        self._append(rows.join(decided.filter("least is null").select("id"), "id", "left_semi"), batch)
+        discard(rows)
         return (
             members.join(decided.withColumnRenamed("id", "class_id"), "class_id")
             .select(F.coalesce("least", "class_id").alias("id_a"), F.col("id").alias("id_b"))
             .filter("id_a < id_b")
         )
 
-    def _counted(self, classes: DataFrame, batch: int) -> DataFrame:
-        """Return the chunks of a batch with ``before``, their holders in the store, and ``holders``, those with the batch."""
-        rows = chunk_rows(classes)
-        new = rows.groupBy("chunk").agg(F.count("*").alias("new"))
-        old = self.stored("holders", batch).groupBy("chunk").agg(F.sum("n").alias("before"))
-        known = new.join(old, "chunk", "left").select(
-            "chunk", F.coalesce("before", F.lit(0)).alias("before"), (F.col("new") + F.coalesce("before", F.lit(0))).alias("holders")
-        )
-        return rows.join(known.filter("holders > 1"), "chunk", "left").withColumns(
-            {"before": F.coalesce("before", F.lit(0)), "holders": F.coalesce("holders", F.lit(1))}
-        )
+    def _candidates(self, rows: DataFrame, batch: int) -> DataFrame:
+        """Return the pairs (``a`` < ``b``), ``b`` of the batch, that share two chunks which serve both, or one if no more is needed."""
+        bounds = ["windows", "coarse_from", "most", "coarse_most", "thin"]
 
-    def _candidates(self, rows: DataFrame, classes: DataFrame, batch: int) -> DataFrame:
-        """Return the pairs (``a`` < ``b``), ``b`` of the batch, whose common chunks cover enough of ``b``."""
-        t = self.threshold
-        table = needed(t)
-        common = f"{t / (1 + t)} * (windows_a + windows_b)"
-        place = f"cast(greatest(0, least({SHARES - 1}, floor(({common} / windows_b - {t}) / {1 - t} * {SHARES} + 1e-9))) as int)"
-        coarser = f"windows_a >= if(windows_b < {2 * CHUNKS}, {2 * CHUNKS}, 2 * {CHUNKS} * pow(2, floor(log2(windows_b / {CHUNKS}))))"
-        # The commoner a chunk is among those of its record, the fewer partners need it: only those that may
-        # share as few chunks as its rank, so of a place in the table up to ``upto``.
-        by_heat = Window.partitionBy("id").orderBy(F.desc("holders"), "chunk")
-        hot = (
-            rows.filter(F.col("holders") > HOT)
-            .join(classes.select("id", "fine", "rough"), "id")
-            .withColumn("rank", F.row_number().over(by_heat))
-            .withColumn("coarse_rank", F.count(F.when(F.col("coarse"), 1)).over(by_heat))
-            .withColumn("upto", F.expr(places_below(t, "fine", "rank")))
-            .withColumn("coarse_upto", F.expr(f"if(coarse, {places_below(t, 'rough', 'coarse_rank')}, -1)"))
-        )
-        # In terms of the partner's windows, so that a joined row is only compared: from ``low`` on, below ``most``, or below
-        # ``coarse_most`` from ``coarse`` on, where the partner's step is the greater one.
-        below = f"if(%s >= {SHARES - 1}, 2147483647, windows * (({t} + {1 - t} * (%s + 1 - 1e-9) / {SHARES}) * {(1 + t) / t} - 1))"
-        columns = [
-            "chunk", F.col("id").alias("b"), "size", "before", "holders", F.expr(f"{t - 1e-9} * windows").alias("low"),
-            F.expr(coarser.removeprefix("windows_a >= ").replace("windows_b", "windows")).alias("coarse_from"),
-            F.expr(f"least(windows / {t - 1e-9}, {below % ('upto', 'upto')})").alias("most"),
-            F.expr(f"least(windows / {t - 1e-9}, {below % ('coarse_upto', 'coarse_upto')})").alias("coarse_most"),
-        ]
-        always = F.lit(SHARES)
-        asked = (
-            rows.filter((F.col("holders") > 1) & (F.col("holders") <= HOT))
-            .withColumns({"upto": always, "coarse_upto": always})
-            .select(*columns)
-            .unionByName(hot.filter("upto >= 0 or coarse_upto >= 0").select(*columns))
-        )
-        heat = hot.groupBy(F.col("id").alias("b")).agg(F.count("*").alias("hot"), F.count(F.when(F.col("coarse"), 1)).alias("coarse_hot"))
-
-        def side(df: DataFrame, by: str) -> DataFrame:
-            return df.select(by, F.col("id").alias("a"), F.col("windows").alias("windows_a"))
+        def side(df: DataFrame, by: str, which: str) -> DataFrame:
+            return df.select(by, F.col("id").alias(which), *(F.col(x).alias(f"{x}_{which}") for x in bounds))
 
         def met(df: DataFrame) -> DataFrame:
-            return df.filter("windows_a >= low and windows_a <= if(windows_a >= coarse_from, coarse_most, most)").select("a", "b", "windows_a", "size")
-
-        parts = F.explode(F.sequence(F.lit(0), keys(F.col("before")) - 1)).alias("part")
-        bounds = ["low", "coarse_from", "most", "coarse_most"]
-        probes = asked.filter("before > 0").select("*", parts).select(key(F.col("chunk"), F.col("part")).alias("key"), "b", "size", *bounds)
-        old = met(side(self.stored("chunks", batch), "key").join(probes.hint("shuffle_hash"), "key"))
-        several = F.col("holders") > F.col("before") + 1
-        fresh = asked.filter(several).drop("before", "holders").join(side(rows.filter(several), "chunk").hint("merge"), "chunk")
-        # One shuffle, by ``b``, serves the totals and what is joined to them.
-        totals = old.unionByName(met(fresh.filter("a < b"))).repartition("b").groupBy("a", "b").agg(
-            F.count("*").alias("shared"), F.sum("size").alias("bytes"), F.first("windows_a").alias("windows_a")
-        )
-        own = classes.select(
-            F.col("id").alias("b"), F.col("windows").alias("windows_b"), "fine", "rough", "total",
-            F.expr(coarser.removeprefix("windows_a >= ").replace("windows_b", "windows")).alias("coarse_from"),
-        )
-        covered = written(
-            totals.join(own, "b")
-            .join(heat, "b", "left")
-            .withColumn("least", F.expr(
-                f"if(windows_a < {2 * CHUNKS} and windows_b < {2 * CHUNKS}, ceil({common} - 1e-9), {table}[{place}][least(if(windows_a >= coarse_from, rough, fine), {MOST})])"
-            ))
-            .withColumn("heat", F.expr(f"coalesce(if(windows_a >= coarse_from, coarse_hot, hot), 0)"))
-            .filter(f"shared + least(heat, least - 1) >= least and (heat > 0 or bytes >= {COVERAGE} * total)")
-            .select("a", "b", "least", (F.col("shared") >= F.col("least")).alias("sure")),
-            "p5-covered",
-        )
-        # At most as many chunks are common as have common prints, and those of ``b`` that have one print among them.
-        open_ = covered.filter("not sure").join(classes.select(F.col("id").alias("b"), F.expr(PRINTS).alias("prints_b")), "b")
-        enough = F.expr("size(array_intersect(prints_a, prints_b)) + size(prints_b) - size(array_distinct(prints_b)) >= least")
-        stored = self.stored("records", batch).select(F.col("id").alias("a"), F.col("prints").alias("prints_a"))
-        in_batch = classes.select(F.col("id").alias("a"), F.expr(PRINTS).alias("prints_a"))
-        parts = [df.join(open_, "a").filter(enough).select("a", "b") for df in (stored, in_batch)]
-        return covered.filter("sure").select("a", "b").unionByName(parts[0]).unionByName(parts[1])
+            return df.filter(
+                "a < b and windows_a <= if(windows_a >= coarse_from_b, coarse_most_b, most_b)"
+                " and windows_b <= if(windows_b >= coarse_from_a, coarse_most_a, most_a)"
+            ).select("a", "b", F.expr(
+                "(thin_a & if(windows_b >= coarse_from_a, 2, 1)) > 0 and (thin_b & if(windows_a >= coarse_from_b, 2, 1)) > 0"
+            ).alias("alone"))
+
+        parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        probes = side(rows.select("*", parts).withColumn("key", key(F.col("chunk"), F.col("part"))), "key", "b")
+        old = met(side(self.stored("chunks", batch), "key", "a").join(probes.hint("shuffle_hash"), "key"))
+        fresh = met(side(rows, "chunk", "a").hint("merge").join(side(rows, "chunk", "b"), "chunk"))
+        totals = old.unionByName(fresh).groupBy("a", "b").agg(F.count("*").alias("shared"), F.bool_or("alone").alias("alone"))
+        return totals.filter("shared > 1 or alone").select("a", "b")
 
     def _decide(self, links: DataFrame, batch: DataFrame) -> DataFrame:
         """Return (``id``, ``least``) for the classes of the batch; ``least`` is null if accepted.

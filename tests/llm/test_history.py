@@ -140,3 +140,33 @@ def test_recall_of_the_candidate_step(length):
         common = 0.7 / 1.7 * (na + nb)
         shared = len(np.intersect1d(a, b))
         assert shared >= (np.ceil(common - 1e-9) if step_of(na) == step_of(nb) == 1 else least_shared(len(b), min(1, common / nb)))
+
+
+def framed(n, seed=21):
+    """Texts of which half is a common notice, and as many later ones of the same kind; the last repeats the first."""
+    r = random.Random(seed)
+    notice = [f"notice{i}" for i in range(110)]
+    texts = [notice + r.choices([f"own{i}" for i in range(9000)], k=100) for _ in range(2 * n)]
+    return [(i, int(i >= n), " ".join(x)) for i, x in enumerate([*texts, edited(texts[0], 150)])]
+
+
+def test_few_jobs_in_a_batch(spark):
+    """What a driver keeps of each job adds up over the batches."""
+    spark.sparkContext.setJobGroup("few-jobs", "one batch")
+    try:
+        assert run(spark, framed(20), False) == {40: 0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 60
+
+
+@pytest.mark.parametrize("windows, chunks", [(20, 20), (47, 47), (60, 31), (300, 26), (300, 9), (5000, 300)])
+def test_most_windows_is_where_more_chunks_are_needed(windows, chunks):
+    t, exact = 0.7, windows < 48
+    for shared in range(1, chunks + 1):
+        most = history.most_windows(t, windows, chunks, np.array([shared]), exact)[0]
+        for other in range(int(np.ceil(t * windows)), int(windows / t) + 1):
+            common = t / (1 + t) * (windows + other)
+            place = int(min(15, np.floor((common / windows - t) / (1 - t) * 16 + 1e-9)))
+            least = np.ceil(common - 1e-9) if exact else history.needed(t)[place, min(chunks, history.MOST)]
+            assert (other <= most) == (least <= shared)
